@@ -7,10 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (
-    "alignment", "defects", "splitting", "visual", "repetition", "encoding", "truncation", "packing", "mixing",
-    "sentences",
-)
+_MODULES = ("visual", "encoding", "truncation", "sentences")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

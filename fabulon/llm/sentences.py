@@ -16,7 +16,7 @@ from .arrowio import flat_map, table
 
 # Abbreviations by behaviour.
 # Never the end of a sentence: titles and particles that need a following word.
-TITLES = "mr mrs ms dr prof capt col gen lt sgt rev st hr fr frl sr sra srta mme mlle mm me д-р г-н г-жа डॉ श्री ca bzw vgl usw.n jr.n i.e e.g c.-à-d p.ex cf viz"
+TITLES = "mr mrs ms dr prof capt col gen lt sgt rev st hr fr frl sr sra srta mme mlle д-р г-н г-жа डॉ श्री ca bzw vgl usw.n jr.n i.e e.g c.-à-d p.ex cf viz"
 # Need a number after them.
 NUMBERED = "no nr núm num vol p pp art fig ch chap nos стр с рис"
 # May end a sentence: decided by what follows.
@@ -52,6 +52,7 @@ _BRACKETS = frozenset("([（")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_CUT = re.compile(r"\n[^\S\n]*\n\s*|(?<![0-9๐-๙\s])[^\S\n]+(?![0-9๐-๙\s])")
 _CLOCK_OPENER = re.compile(r"\W*\w{1,3}\s+\d{1,2}(?:[:.]\d\d)?\s*\Z")
+_NAME = re.compile(r"\w+")
 _BRACKET_REACH = 400
 
 
@@ -95,7 +96,7 @@ def _ordinal(text: str, dot: int, nxt: int) -> bool:
         i -= 1
     if i == dot or dot - i > 2:
         return False
-    m = re.compile(r"\w+").match(text, nxt)
+    m = _NAME.match(text, nxt)
     return bool(m) and m.group().lower() in _MONTHS
 
 
@@ -218,9 +219,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                     d -= 1
                 ends = not _CLOCK_OPENER.match(text[start:d])
         elif single_dot and text[i - 1 : i].isdigit():
+            # an ordinal, or the number of a list item
             ends = not (_ordinal(text, i, w) or text[start:i].strip().isdigit())
-            if not ends and text[start:i].strip().isdigit() is False:
-                ends = False
         else:
             ends = True
         if ends:
