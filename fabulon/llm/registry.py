@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("visual", "encoding", "truncation", "sentences")
+_MODULES = ("visual", "repetition", "encoding", "truncation", "sentences")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
