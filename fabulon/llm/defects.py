@@ -230,7 +230,7 @@ def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel) -> DataF
             if not rec:
                 continue
             contexts, own = zip(*(final_contexts(x or "") for x in answer))
-            odds = ends.log_odds(*context_hashes(list(contexts)), np.array(own, dtype=np.int64).reshape(len(rec), -1))
+            odds = ends.log_odds(context_hashes(list(contexts)), np.array(own, dtype=np.int64).reshape(len(rec), -1))
             found = []
             for s, r, a, p, lg, w, o in zip(src, rec, answer, prompt, lang, words, odds):
                 short = bool(w and a and len(a.split()) < 0.9 * w)
