@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("defects", "visual", "repetition", "encoding", "truncation", "sentences")
+_MODULES = ("alignment", "defects", "visual", "splitting", "repetition", "packing", "mixing", "encoding", "truncation", "sentences")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

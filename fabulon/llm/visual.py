@@ -102,12 +102,13 @@ def _char_class(chars: list[int]) -> str:
     return "".join(out)
 
 
-_MARKS = _char_class([o for o in range(0x300, 0x20000) if not 0xD800 <= o < 0xE000 and ud.category(chr(o))[0] == "M"])
+_MARKS = _char_class([o for o in range(0x300, 0x10000) if not 0xD800 <= o < 0xE000 and ud.category(chr(o))[0] == "M"])
 _HIDDEN = _char_class(sorted(ord(c) for c, d in _PLAIN.items() if d == "" and len(c) == 1))
 _KEYS = _char_class(sorted({ord(c) for c in _PLAIN if len(c) == 1 and _PLAIN[c] != ""}))
 _JOINABLE = "Ͱ-ԯἀ-῿"
 #: A word: letters, digits, marks and invisible characters.  Only words with something to look at are taken apart.
 _WORD = re.compile(rf"[^\W_](?:[\w{_MARKS}{_HIDDEN}])*|[{_HIDDEN}]+(?:[\w{_MARKS}{_HIDDEN}])*|\r\n|[{_KEYS}]")
+_ODD_ASCII = re.compile(r"[\r\t\v\f]")
 _ODD = re.compile(rf"[{_MARKS}{_HIDDEN}{_KEYS}{_JOINABLE}\r\t\v\f]")
 _CLUSTER = re.compile(rf"\r\n|.[{_MARKS}]*", re.S)
 _ROMAN = re.compile(r"[IVXLCDM]+\Z")
@@ -151,7 +152,7 @@ def _rewrite_word(word: str) -> str:
 
 def normalize(text: str | None) -> str | None:
     """The one consistent form of ``text``; null stays null."""
-    if not text or _ODD.search(text) is None:
+    if not text or (_ODD_ASCII if text.isascii() else _ODD).search(text) is None:
         return text
     return _WORD.sub(lambda m: _rewrite_word(m.group()), text)
 
