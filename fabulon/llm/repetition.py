@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,32 @@ LOWER, LEAST_RATIO = 0.93, 0.9
 UPPER = 2.0
 _CHUNK = 400_000  # words per vectorised step
 
-_MARKS = "".join(chr(o) for o in range(0x300, 0x20000) if not 0xD800 <= o < 0xE000 and ud.category(chr(o))[0] == "M")
-_WORD = re.compile(rf"[\w{_MARKS}]+")
+def _word_pattern(top: int) -> re.Pattern:
+    """Letters, digits and the combining marks below ``top``, as ranges."""
+    marks = [o for o in range(0x300, top) if not 0xD800 <= o < 0xE000 and ud.category(chr(o))[0] == "M"]
+    known = set(marks)
+    starts = [o for o in marks if o - 1 not in known]
+    ends = [o for o in marks if o + 1 not in known]
+    return re.compile("[\\w" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]+")
+
+
+_WORD, _ASCII = _word_pattern(0x10000), re.compile(r"\w+")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def words_of(text: str) -> list[str]:
     """Maximal runs of letters, combining marks and digits, in lower case."""
-    return _WORD.findall(text.lower().replace("_", " "))
+    text = text.lower().replace("_", " ")
+    if text.isascii():
+        return _ASCII.findall(text)
+    # the pattern of all planes is slow, and hardly ever needed
+    return (_word_pattern_all() if _ASTRAL.search(text) else _WORD).findall(text)
+
+
+@lru_cache(maxsize=1)
+def _word_pattern_all() -> re.Pattern:
+    return _word_pattern(0x20000)
 
 
 class _Ids(dict):
