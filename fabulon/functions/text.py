@@ -44,7 +44,8 @@ def excerpt(words_: Column, start: Column, length: Column | int, chars: int = EX
 def judge_score(reply: Column | str) -> Column:
     """First number of a reply, clamped to -10..10 and scaled to -1..1; 0 if there is none."""
     number = F.nullif(F.regexp_extract(reply, r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), number)) / 10.0, F.lit(0.0))
+    # greatest and least would skip a null
+    return F.when(number.isNull(), 0.0).otherwise(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), number)) / 10.0)
 
 
 def role_of(version: Column) -> Column:

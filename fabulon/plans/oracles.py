@@ -296,8 +296,8 @@ def oracle_sql() -> dict[str, str]:
             from m group by slug""",
         "token_accounting": """select slug, model, count(*) as n, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens
             from candidates group by all""",
-        "judge_parse": r"""select msg_id, round(coalesce(greatest(-10.0, least(10.0, try_cast(nullif(regexp_extract(text, '-?\d+(?:\.\d+)?'), '') as double))) / 10.0, 0.0), 6) + 0.0 as score
-            from conversations where text is not null""",
+        "judge_parse": r"""with p as (select msg_id, try_cast(nullif(regexp_extract(text, '-?\d+(?:\.\d+)?'), '') as double) as v from conversations where text is not null)
+            select msg_id, round(case when v is null then 0.0 when v > 10 then 1.0 when v < -10 then -1.0 else v / 10.0 end, 6) + 0.0 as score from p""",
         "strip_boilerplate": f"""with {_RAW}, body as (select run_id, version,
               regexp_replace(regexp_extract(t, '(?s)\\*\\*\\*\\s*START OF[^\\n]*\\n(.*?)\\n\\*\\*\\* END OF', 1), '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g') as t from raw)
             select run_id, version, length(t) as chars, md5(t) as digest from body""",
