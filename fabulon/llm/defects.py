@@ -142,16 +142,18 @@ def is_refusal(text: str) -> bool:
     return any(_DECLINE.search(s) and _TASK.search(s) for s in _SENTENCE.findall(plain))
 
 
-def tiled(a: list[str], b: list[str]) -> int:
-    """Words covered by greedy string tiling: longest common runs of at least ``TILE`` words first, no word twice."""
+def tiled(a: list[str], b: list[str], least: float = 0.0) -> int:
+    """Words covered by greedy string tiling: longest common runs of at least ``TILE`` words first, no word twice.
+
+    0 as soon as it is certain that less than the part ``least`` of ``a`` can be covered."""
     if len(a) < TILE or len(b) < TILE:
         return len(a) if a == b else 0
     marked_a, marked_b = bytearray(len(a)), bytearray(len(b))
     places: dict[tuple, list[int]] = {}
     for j in range(len(b) - TILE + 1):
         places.setdefault(tuple(b[j : j + TILE]), []).append(j)
-    if sum(tuple(a[i : i + TILE]) in places for i in range(len(a) - TILE + 1)) * 3 < len(a) - TILE + 1:
-        return 0  # less than a third of the answer's runs occur at all
+    if TILE * sum(tuple(a[i : i + TILE]) in places for i in range(len(a) - TILE + 1)) < least * len(a):
+        return 0
     matches = []
     i = 0
     while i <= len(a) - TILE:
@@ -189,7 +191,7 @@ def is_copy(answer: str, prompt: str) -> bool:
         a = words_of(text)
         for p in passages:
             b = words_of(p)
-            if a and b and (n := tiled(a, b)) >= COPY_ANSWER * len(a) and n >= COPY_PROMPT * len(b):
+            if a and b and (n := tiled(a, b, COPY_ANSWER)) >= COPY_ANSWER * len(a) and n >= COPY_PROMPT * len(b):
                 return True
     return False
 

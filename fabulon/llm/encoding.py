@@ -75,8 +75,8 @@ def _features(run: str) -> np.ndarray:
 class ChainModel:
     """Multinomial classifier: class 0 is sound text, class i the i-th chain."""
 
-    def __init__(self, log_p: np.ndarray, log_prior: np.ndarray):
-        self.log_p, self.log_prior, self._seen = log_p, log_prior, {}
+    def __init__(self, log_p: np.ndarray, log_prior: np.ndarray, known: frozenset):
+        self.log_p, self.log_prior, self.known, self._seen = log_p, log_prior, known, {}
 
     def rank(self, run: str) -> np.ndarray:
         return np.argsort(-(self.log_prior + self.log_p[:, _features(run)].sum(axis=1)), kind="stable")
@@ -91,7 +91,9 @@ class ChainModel:
             for c in self.rank(run):
                 if c == 0:
                     break
-                if (text := invert(run, CHAINS[c - 1])) is not None and text != run and _sound(text):
+                text = invert(run, CHAINS[c - 1])
+                # two look-alike letters may spell a character; a single one must be known
+                if text is not None and text != run and _sound(text) and (len(text) > 1 or text in self.known):
                     again = self.restore(text) if _RUN.search(text) else None
                     found = (again[0], again[1] + CHAINS[c - 1]) if again else (text, CHAINS[c - 1])
                     break
@@ -99,10 +101,12 @@ class ChainModel:
         return self._seen[run]
 
     def __getstate__(self):
-        return {"log_p": self.log_p, "log_prior": self.log_prior, "_seen": {}}
+        return self.__dict__ | {"_seen": {}}
 
 
 def _fit(runs: Counter) -> ChainModel:
+    # every letter and mark of the common alphabets counts once beside the corpus' runs, so rare ones are known too
+    runs = runs + Counter(chr(o) for o in (*range(0xA1, 0x180), *range(0x391, 0x3CA), *range(0x401, 0x460), *range(0x2013, 0x2027), 0x20AC, 0x2122))
     counts = np.full((len(CHAINS) + 1, _BUCKETS), 0.05)
     for run, n in runs.items():
         np.add.at(counts[0], _features(run), n)
@@ -111,7 +115,7 @@ def _fit(runs: Counter) -> ChainModel:
     log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     prior = np.full(len(CHAINS) + 1, 0.5 / len(CHAINS))
     prior[0] = 0.5
-    return ChainModel(log_p, np.log(prior).astype(np.float32))
+    return ChainModel(log_p, np.log(prior).astype(np.float32), frozenset("".join(runs)))
 
 
 def train(texts: list[str]) -> ChainModel:
@@ -141,8 +145,8 @@ def repair(text: str | None, model: ChainModel) -> tuple[str | None, str, int, i
     def one(m: re.Match) -> str:
         run = m.group()
         hit = model.restore(run)
-        if hit is None and len(run) > 1 and m.end() == len(text):
-            # a cut can leave half a character at the very end
+        if hit is None and chains and len(run) > 1 and m.end() == len(text):
+            # the cut of a garbled text can leave half a character at its very end
             hit = next((h for k in (1, 2) if (h := model.restore(run[:-k]))), None)
         if hit is None:
             return run

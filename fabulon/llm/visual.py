@@ -157,11 +157,14 @@ def normalize(text: str | None) -> str | None:
     return _WORD.sub(lambda m: _rewrite_word(m.group()), text)
 
 
-def normalize_fields(df: DataFrame, key: str, fields: list[str], model: ChainModel | None = None) -> DataFrame:
+def normalize_fields(
+    df: DataFrame, key: str, fields: list[str], model: ChainModel | None = None, may_be_garbled: tuple[str, ...] = ("text", "title")
+) -> DataFrame:
     """One row (key, field, affected, garbled, normal) per non-null field.
 
-    ``normal`` is the consistent form, ``affected`` whether it differs and the value holds a letter; values that are
-    garbled by a wrong encoding (judged by ``model`` where given) are normalised too but never count as affected.
+    ``normal`` is the consistent form, ``affected`` whether it differs and the value holds a letter; values
+    garbled by a wrong encoding (judged by ``model`` in the fields ``may_be_garbled``) are normalised too but never count
+    as affected.
     Nulls give no row, empty texts come out empty; other columns are ignored.  One narrow stage without a shuffle.
     """
     key_type = df.schema[key].dataType.simpleString()
@@ -174,7 +177,8 @@ def normalize_fields(df: DataFrame, key: str, fields: list[str], model: ChainMod
             if value is not None:
                 normal = normalize(value)
                 differs = normal != value and _LETTER.search(value) is not None
-                bad = differs and shared.value is not None and repair(value, shared.value) is not None
+                judged = differs and field in may_be_garbled and shared.value is not None
+                bad = judged and repair(value, shared.value) is not None
                 out.append((k, field, differs and not bad, bad, normal))
         return out
 
