@@ -367,22 +367,21 @@ def excerpt_pairs(divergences: DataFrame) -> DataFrame:
     )
 
 
-_SPACE = re.compile(r"\s+")
-
-
 def _edge(run_id, version, kind: str, words: list[str]) -> int:
     return xxhash.xxh64_intdigest(f"{run_id}\x1f{version}\x1f{kind}\x1f" + " ".join(words)) - (1 << 63)
 
 
-def whole_edges(divergences: DataFrame, chapters: DataFrame) -> DataFrame:
+def whole_edges(divergences: DataFrame, chapters: DataFrame, chains: ChainModel | None = None) -> DataFrame:
     """(div_id, side, kind) of the edges ('S' start, 'E' end) of excerpts that fall on a sentence's edge in the source.
 
     The first or last words of the excerpt are looked up among those at the edges of all sentences of its run and
-    version: an equi-join of hashes, no text is compared with another.
+    version: an equi-join of hashes, no text is compared with another.  Both are compared in their clean form.
     """
+    shared = divergences.sparkSession.sparkContext.broadcast(chains)
 
     def of_chapter(run_id, version, text):
-        words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", text or "")]
+        text, _ = _clean(text or "", shared.value)
+        words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", text)]
         starts = {a: k for k, (a, _, _) in enumerate(words)}
         ends = {b: k for k, (_, b, _) in enumerate(words)}
         keys = set()
@@ -396,7 +395,7 @@ def whole_edges(divergences: DataFrame, chapters: DataFrame) -> DataFrame:
     def of_excerpt(div_id, run_id, version_a, version_b, a, b):
         out = []
         for side, version, text in (("a", version_a, a), ("b", version_b, b)):
-            words = (text or "").split()
+            words = _clean(text or "", shared.value)[0].split()
             if words:
                 out.append((div_id, side, "S", _edge(run_id, version, "S", words[:EDGE])))
                 out.append((div_id, side, "E", _edge(run_id, version, "E", words[-EDGE:])))
@@ -418,7 +417,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fit_table(docs.where("src = 'chapters'"))
     links = align(docs, t)
     edges = (
-        whole_edges(divergences, chapters).groupBy("div_id")
+        whole_edges(divergences, chapters, chains).groupBy("div_id")
         .agg(*[F.max((F.col("side") == s) & (F.col("kind") == k)).alias(f"{k}{s}") for s in "ab" for k in "SE"])
     )
     cut = F.lit(False)

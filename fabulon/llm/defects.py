@@ -7,14 +7,16 @@ back, script and function-word checks tell its language, and a small grammar fin
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowio import table
+from .arrowio import cut_lineage, table
 from .encoding import ChainModel, chapter_model, is_garbled
 from .repetition import words_of
 from .truncation import MARGIN, EndModel, context_hashes, final_contexts, fit_ends, is_closed, tail
@@ -24,7 +26,7 @@ FUNCTION_WORDS = {
     "en": "the of and to in a is was it for with as his her on be at by that had he she not are but from or have an they which you were their one all we who would there been when will no more if out so what up into than them can only other time new some could these two may then do first any my now such like our over man me even most after also did many before must through who why where while though since under behind against among beyond beside towards because said asked upon without nobody nothing",
     "fr": "le la les de des du un une et à en dans est il elle que qui ne pas pour sur au aux ce cette ces se sa son ses avec par plus mais ou où comme sous nous vous ils elles je tu mon ma mes tout tous toute fut était avait sans quand puis car bien que afin alors avant après contre derrière devant parmi vers chez dit demanda jamais rien personne l d c s n j m qu leur lui y pourquoi puisque malgré pendant avaient c'est",
     "de": "der die das den dem des ein eine einen einem einer und ist war nicht in im zu zum zur auf mit für von vom als auch es an am aus bei nach vor hinter unter über wie er sie ich wir ihr sich dass weil obwohl ohne während bevor wer wo was trug fand stahl hielt oder aber noch nur wird hat hatte fragte niemand herr frau gegen seit eine um",
-    "es": "el la los las de del un una y en que es por con para no se su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro dónde está detrás bajo junto aunque preguntó quién mientras",
+    "es": "es demasiado tarde el la los las de del un una y en que es por con para no se su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro dónde está detrás bajo junto aunque preguntó quién mientras",
     "it": "il lo la gli le di del della un una e è che in per con non si su come più anche ma da al dei nel sono questo quando dove chi alla delle",
     "pt": "o os as de do da um uma e em que é por com para não se no na ao dos como mais mas foi ele seu sua ou quando muito nos já eu também só pelo pela até isso ela entre",
     "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij nog uit door over ze hij naar heeft wordt",
@@ -52,6 +54,7 @@ RULES = r"\b(?:as an (?:AI|assistant|language model)|en tant qu['’](?:IA|assis
 # Requests to give the text back unchanged.
 REPEAT = r"\b(?:repeat|copy|echo|retype|reproduce|say again|write out|recop\w+|répét\w+|reproduis\w*|word for word|verbatim|mot pour mot|mot à mot|wiederhol\w+|repit\w+)\b"
 
+_SPARSE = ("it", "pt", "nl")
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _SCRIPT = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _NAMES = {name: code for code, names in LANGUAGE_NAMES.items() for name in names.split()}
@@ -68,6 +71,8 @@ _MARKUP = re.compile(r"```|~~~|\*\*|__|</?[A-Za-z][\w-]*[^<>]*>|[()\[\]{}]|[«»
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "「": "」"}
 #: Shortest tile in words, and the coverage of both sides from which an answer gives its prompt back.
 TILE, COPY_ANSWER, COPY_PROMPT = 4, 0.8, 0.7
+#: The same in characters, for answers that share at least the part ``SHARED`` of their words with the prompt.
+CHAR_TILE, CHARS_ANSWER, CHARS_PROMPT, SHARED = 6, 0.7, 0.6, 0.4
 
 
 def open_constructs(text: str) -> list[str]:
@@ -110,8 +115,39 @@ def ends_open(text: str, odds: float, limit: float) -> bool:
     return not is_closed(end) and odds < limit
 
 
-def language_of(text: str) -> str | None:
-    """Two-letter code by script, else by function words; None if nothing tells."""
+def fit_words(texts: DataFrame) -> dict[str, dict[str, float]]:
+    """Log shares of frequent words by language of (lang, t): words that make up 1/20,000 of a language, so at most
+    20,000 of each.  Partial counts are shuffled, the bounded table comes to the driver."""
+
+    def counts(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if lang and t:
+                    seen.update((lang[:2].lower(), w) for w in words_of(t))
+            if len(seen) > 500_000:
+                yield _rows(seen)
+                seen.clear()
+        if seen:
+            yield _rows(seen)
+
+    def _rows(seen):
+        langs, words = zip(*seen)
+        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(seen.values()))], names=["lang", "word", "n"])
+
+    n = texts.select("lang", "t").mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    n = cut_lineage(n)
+    total = {r["lang"]: r["n"] for r in n.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums = n.groupBy("lang").agg(F.sum("n").alias("all"))
+    out: dict[str, dict[str, float]] = {lang: {} for lang in total}
+    for r in n.join(F.broadcast(sums), "lang").where("n * 20000 >= all").toLocalIterator():
+        out[r["lang"]][r["word"]] = math.log(r["n"] / total[r["lang"]])
+    return out
+
+
+def language_of(text: str, learned: dict[str, dict[str, float]] | None = None) -> str | None:
+    """Two-letter code by script, else by function words, else by the words that ``learned`` tells apart; None if
+    nothing tells."""
     counts = {k: len(p.findall(text)) for k, p in _SCRIPT.items()} if not text.isascii() else {}
     letters = sum(map(str.isalpha, text))
     if counts and 2 * sum(counts.values()) > letters:
@@ -120,11 +156,21 @@ def language_of(text: str) -> str | None:
         return max(counts, key=counts.get)
     words = words_of(text)
     hits = {k: sum(w in v for w in words) for k, v in _FUNCTION.items()}
+    for k in _SPARSE:
+        hits[k] -= 1  # short lists of languages that share many short words with others
     best, second = sorted(hits, key=hits.get, reverse=True)[:2]
-    return best if hits[best] > hits[second] else None
+    if hits[best] > hits[second]:
+        return best
+    if learned:
+        floor = math.log(1e-6)
+        score = {k: sum(v.get(w, floor) for w in words) for k, v in learned.items() if any(w in v for w in words)}
+        best = max(score, key=score.get, default=None)
+        if best and all(score[best] > v + 2.0 for k, v in score.items() if k != best):
+            return best
+    return None
 
 
-def wanted_language(prompt: str) -> str | None:
+def wanted_language(prompt: str, learned: dict[str, dict[str, float]] | None = None) -> str | None:
     """The language a prompt asks for: the last one its request names, else its own."""
     head = prompt.strip().split("\n", 1)[0]
     if len(head) > 160:
@@ -132,7 +178,7 @@ def wanted_language(prompt: str) -> str | None:
     named = _NAME.findall(head)
     if named and not re.search(r"[?]\s*$", head):
         return _NAMES[named[-1].lower()]
-    return language_of(prompt)
+    return language_of(prompt, learned)
 
 
 def is_refusal(text: str) -> bool:
@@ -142,38 +188,40 @@ def is_refusal(text: str) -> bool:
     return any(_DECLINE.search(s) and _TASK.search(s) for s in _SENTENCE.findall(plain))
 
 
-def tiled(a: list[str], b: list[str], least: float = 0.0) -> int:
-    """Words covered by greedy string tiling: longest common runs of at least ``TILE`` words first, no word twice.
+def tiled(a, b, least: float = 0.0, tile: int = TILE) -> int:
+    """Items of ``a`` covered by greedy string tiling: longest common runs of at least ``tile`` items first, none twice.
 
-    0 as soon as it is certain that less than the part ``least`` of ``a`` can be covered."""
-    if len(a) < TILE or len(b) < TILE:
+    0 as soon as it is certain that less than the part ``least`` of ``a`` can be covered.  Takes lists and strings.
+    """
+    if len(a) < tile or len(b) < tile:
         return len(a) if a == b else 0
-    marked_a, marked_b = bytearray(len(a)), bytearray(len(b))
-    places: dict[tuple, list[int]] = {}
-    for j in range(len(b) - TILE + 1):
-        places.setdefault(tuple(b[j : j + TILE]), []).append(j)
-    if TILE * sum(tuple(a[i : i + TILE]) in places for i in range(len(a) - TILE + 1)) < least * len(a):
+    key = (lambda x: x) if isinstance(a, str) else tuple
+    places: dict = {}
+    for j in range(len(b) - tile + 1):
+        places.setdefault(key(b[j : j + tile]), []).append(j)
+    if tile * sum(key(a[i : i + tile]) in places for i in range(len(a) - tile + 1)) < least * len(a):
         return 0
     matches = []
     i = 0
-    while i <= len(a) - TILE:
+    while i <= len(a) - tile:
         best, at = 0, -1
-        for j in places.get(tuple(a[i : i + TILE]), ()):
-            n = TILE
+        for j in places.get(key(a[i : i + tile]), ()):
+            n = tile
             while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
                 n += 1
             if n > best:
                 best, at = n, j
         if best:
             matches.append((best, i, at))
-            i += best - TILE + 1
+            i += best - tile + 1
         else:
             i += 1
+    marked_a, marked_b = bytearray(len(a)), bytearray(len(b))
     covered = 0
     for n, i, j in sorted(matches, key=lambda m: -m[0]):
         free = [not (marked_a[i + k] or marked_b[j + k]) for k in range(n)]
         run = sum(free)
-        if run >= TILE or run == n:
+        if run >= tile or run == n:
             for k in range(n):
                 if free[k]:
                     marked_a[i + k] = marked_b[j + k] = 1
@@ -193,10 +241,19 @@ def is_copy(answer: str, prompt: str) -> bool:
             b = words_of(p)
             if a and b and (n := tiled(a, b, COPY_ANSWER)) >= COPY_ANSWER * len(a) and n >= COPY_PROMPT * len(b):
                 return True
+            # letters lost here and there leave few whole runs of words: tile characters where many words recur
+            known = set(b)
+            if sum(w in known for w in a) >= SHARED * len(a) and abs(len(a) - len(b)) <= 0.4 * len(b):
+                x, y = " ".join(a), " ".join(b)
+                if (n := tiled(x, y, CHARS_ANSWER, CHAR_TILE)) >= CHARS_ANSWER * len(x) and n >= CHARS_PROMPT * len(y):
+                    return True
     return False
 
 
-def defect_of(src: str, answer: str | None, prompt: str | None, lang: str | None, short: bool, garbled: bool, odds: float, limit: float) -> str | None:
+def defect_of(
+    src: str, answer: str | None, prompt: str | None, lang: str | None, short: bool, garbled: bool, odds: float, limit: float,
+    learned: dict[str, dict[str, float]] | None = None,
+) -> str | None:
     """Type of the defect of an answer, None for a sound one."""
     if not answer or _VISIBLE.search(answer) is None:
         return "empty"
@@ -206,26 +263,26 @@ def defect_of(src: str, answer: str | None, prompt: str | None, lang: str | None
         return "copy"
     if not garbled and (short or ends_open(answer, odds, limit)):
         return "truncated"
-    want = lang if src == "chapters" else (wanted_language(prompt) if prompt else None)
+    want = lang if src == "chapters" else (wanted_language(prompt, learned) if prompt else None)
     if want:
         lead = _LEAD_IN.match(answer)
         body = answer[lead.end() :] if lead and len(answer) - lead.end() > 10 else answer
-        got = language_of(body)
+        got = language_of(body, learned)
         if got and got != want:
             return "language"
     return None
 
 
-def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel) -> DataFrame:
+def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel, learned: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(src, rec_id, defect) for the defective rows of (src, rec_id, answer, prompt, lang, words).
 
     Null and blank answers are 'empty'; without a prompt an answer is judged by itself; a repeated answer (another
     rec_id) is judged again.  One narrow stage; the models have fixed or bounded size.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((model, chains))
+    shared = pairs.sparkSession.sparkContext.broadcast((model, chains, learned))
 
     def rows(batches):
-        ends, chain = shared.value
+        ends, chain, known = shared.value
         limit = ends.typical() - MARGIN
         for batch in batches:
             src, rec, answer, prompt, lang, words = (c.to_pylist() for c in batch.columns)
@@ -237,7 +294,7 @@ def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel) -> DataF
             for s, r, a, p, lg, w, o in zip(src, rec, answer, prompt, lang, words, odds):
                 short = bool(w and a and len(a.split()) < 0.9 * w)
                 garbled = s == "chapters" and is_garbled(a, chain)
-                d = defect_of(s, a, p, (lg or "")[:2].lower() or None, short, garbled, o, limit)
+                d = defect_of(s, a, p, (lg or "")[:2].lower() or None, short, garbled, o, limit, known)
                 if d:
                     found.append((s, r, d))
             if found:
@@ -272,4 +329,5 @@ def answer_pairs(conversations: DataFrame, chapters: DataFrame) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations, chapters = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "chapters")
     texts = chapters.select(F.col("text").alias("t")).unionByName(conversations.where("role = 'assistant'").select(F.col("text").alias("t")))
-    return flag_defects(answer_pairs(conversations, chapters), fit_ends(texts), chapter_model(spark, sf_dir))
+    learned = fit_words(chapters.select("lang", F.col("text").alias("t")))
+    return flag_defects(answer_pairs(conversations, chapters), fit_ends(texts), chapter_model(spark, sf_dir), learned)

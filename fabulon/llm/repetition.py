@@ -33,7 +33,10 @@ LEAST_SHARE = 1e-6
 CACHE = 0.9
 #: A text is under the lower band if ln(own perplexity) / ln(perplexity) is at most this part of the language's median
 #: (which counts as ``LEAST_RATIO`` at least, for languages where most texts repeat themselves).
-LOWER, LEAST_RATIO = 0.93, 0.9
+LOWER, LEAST_RATIO = 0.96, 0.94
+#: A text is also under it if its own perplexity is at most this power of the language's median perplexity: stock
+#: phrases that the model foresees anyway leave no room between the two perplexities.
+FLOOR = 0.6
 #: Upper band as a power of the language's median perplexity.
 UPPER = 2.0
 _CHUNK = 400_000  # words per vectorised step
@@ -297,11 +300,11 @@ def repetition(texts: DataFrame, model: NgramModel | None = None) -> DataFrame:
     return (
         scored.join(F.broadcast(bands), "lang", "left")
         .withColumn("bound", F.lit(LOWER) * F.greatest("middle_ratio", F.lit(LEAST_RATIO)))
-        .withColumn("lower_band", F.pow("perplexity", "bound"))
+        .withColumn("lower_band", F.greatest(F.pow("perplexity", "bound"), F.pow("middle", F.lit(FLOOR))))
         .withColumn("upper_band", F.pow("middle", F.lit(UPPER)))
         .withColumn(
             "verdict",
-            F.when(F.col("ratio") <= F.col("bound"), "repetitive")
+            F.when((F.col("ratio") <= F.col("bound")) | (F.col("own_perplexity") <= F.col("lower_band")), "repetitive")
             .when(F.col("perplexity") > F.col("upper_band"), "noise").otherwise("ok"),
         )
         .drop("middle", "middle_ratio", "ratio", "bound")
