@@ -111,30 +111,22 @@ def dtw_distance(a, b) -> float | None:
     n, m = len(a), len(b)
     if not n or not m:
         return None
-    inf = np.inf
-    # index i of an antidiagonal d holds cell (i, d - i)
-    prev1, len1 = np.full(n, inf), np.zeros(n)
-    prev2, len2 = np.full(n, inf), np.zeros(n)
-    for d in range(n + m - 1):
-        lo, hi = max(0, d - m + 1), min(n - 1, d)
-        i = np.arange(lo, hi + 1)
-        cost = np.abs(a[i] - b[d - i])
-        cur, length = np.full(n, inf), np.zeros(n)
-        if d == 0:
-            cur[0], length[0] = cost[0], 1
-        else:
-            # cells outside the table stay at infinity: rows and columns beyond the edge are masked
-            left, left_n = np.where(d - i >= 1, prev1[i], inf), len1[i]
-            up = np.where(i >= 1, prev1[i - 1], inf)
-            up_n = np.where(i >= 1, len1[i - 1], 0)
-            diag = np.where((i >= 1) & (d - i >= 1), prev2[i - 1], inf)
-            diag_n = np.where(i >= 1, len2[i - 1], 0)
-            use_diag = (diag <= up) & (diag <= left)
-            use_up = ~use_diag & (up <= left)
-            cur[i] = cost + np.where(use_diag, diag, np.where(use_up, up, left))
-            length[i] = 1 + np.where(use_diag, diag_n, np.where(use_up, up_n, left_n))
-        prev2, len2, prev1, len1 = prev1, len1, cur, length
-    return float(prev1[n - 1] / len1[n - 1])
+    back = b[::-1]
+    # place i + 1 of an antidiagonal d holds cell (i, d - i); cells outside the table stay at infinity
+    cost1, cost2 = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    len1, len2 = np.zeros(n + 1), np.zeros(n + 1)
+    cost1[1], len1[1] = abs(a[0] - b[0]), 1.0
+    for d in range(1, n + m - 1):
+        lo, hi = max(0, d - m + 1), min(n, d + 1)
+        up, left, diag = cost1[lo:hi], cost1[lo + 1 : hi + 1], cost2[lo:hi]
+        use_diag = (diag <= up) & (diag <= left)
+        use_up = up <= left
+        cost, length = np.full(n + 1, np.inf), np.zeros(n + 1)
+        best = np.minimum(np.minimum(up, left), diag)
+        cost[lo + 1 : hi + 1] = best + np.abs(a[lo:hi] - back[m - 1 - d + lo : m - 1 - d + hi])
+        length[lo + 1 : hi + 1] = 1.0 + np.where(use_diag, len2[lo:hi], np.where(use_up, len1[lo:hi], len1[lo + 1 : hi + 1]))
+        cost2, len2, cost1, len1 = cost1, len1, cost, length
+    return float(cost1[n] / len1[n])
 
 
 @F.pandas_udf(DoubleType())
