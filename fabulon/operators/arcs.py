@@ -13,10 +13,14 @@ from ..settings import PEAK_TOP, RESAMPLE_POINTS, SMOOTH_ORDER, SMOOTH_WINDOW
 KEY = ["slug", "run_id", "method"]
 
 
-def from_score_docs(docs: DataFrame) -> DataFrame:
-    """(slug, run_id, method, version, role, scores) without exact repetitions; rows of unknown role are dropped."""
-    arcs = docs.select("slug", "run_id", "method", "version", role_of(F.col("version")).alias("role"), "scores").distinct()
-    return arcs.where("role is not null and scores is not null")
+def from_score_docs(docs: DataFrame, distinct: bool = True) -> DataFrame:
+    """(slug, run_id, method, version, role, scores) without exact repetitions; rows of unknown role are dropped.
+
+    ``distinct`` costs a shuffle; comparisons do without, as repetitions don't change which arc a role has.
+    """
+    arcs = docs.select("slug", "run_id", "method", "version", role_of(F.col("version")).alias("role"), "scores")
+    arcs = arcs.where("role is not null and scores is not null")
+    return arcs.distinct() if distinct else arcs
 
 
 def from_points(points: DataFrame, keys: list[str], pos: str = "pos", score: str = "score") -> DataFrame:

@@ -89,4 +89,4 @@ def safe_pearson(a: Column, b: Column) -> Column:
 
 def results(score_docs: DataFrame) -> DataFrame:
     """The full table of metrics of all books (keys, pair, normalization and ten metrics)."""
-    return compare(pairs(by_role(A.from_score_docs(score_docs))))
+    return compare(pairs(by_role(A.from_score_docs(score_docs, distinct=False))))

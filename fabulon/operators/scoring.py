@@ -64,19 +64,18 @@ def clean_lexicon(raw: DataFrame, word: str = "word", happs: str = "happs", orde
     return raw.where((w != "") & F.col(happs).isNotNull()).groupBy(w.alias("word")).agg(F.max_by(happs, order).alias("happs"))
 
 
-def _telling(lexicon: DataFrame, band: float) -> DataFrame:
-    kept = lexicon.where(F.abs(F.col("happs") - 5.0) > band)
-    return F.broadcast(kept) if lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else kept
-
-
 def lexicon_score(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", band: float = NEUTRAL_BAND) -> DataFrame:
     """(keys, score): mean happiness of the words outside the neutral band, mapped from 1..9 to -1..1; 0 without any.
 
-    Words are counted per text before they meet the lexicon, which is broadcast up to a checked size.
+    A lexicon of a checked size is broadcast: words meet it where they are and one partial sum per text is shuffled.  A
+    larger one is joined after the words of each text have been counted.
     """
+    telling = lexicon.where(F.abs(F.col("happs") - 5.0) > band)
     tokens = texts.select(*keys, F.explode_outer(lexicon_tokens(F.col(text))).alias("word"))
-    counted = tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(_telling(lexicon, band), "word", "left")
+    if lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        joined = tokens.withColumn("n", F.lit(1)).join(F.broadcast(telling), "word", "left")
+    else:
+        joined = tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).join(telling, "word", "left")
     total = F.sum(F.when(F.col("happs").isNotNull(), F.col("n")))
     return joined.groupBy(*keys).agg(
         F.coalesce((F.try_divide(F.sum(F.col("happs") * F.col("n")), total) - 5.0) / 4.0, F.lit(0.0)).alias("score")

@@ -11,13 +11,13 @@ from .metrics import by_role, safe_pearson
 def best_of_n(candidates: DataFrame, keys: list[str], correlation: str = "correlation") -> DataFrame:
     """(keys, n_candidates, selected_index, selected_correlation, input_tokens, output_tokens): the candidate of highest
     correlation, the first of equals; failed candidates (null) only count.  Keys without any are left out."""
-    best = F.min_by(F.struct("cand_idx", correlation), F.struct((-F.col(correlation)).alias("c"), F.col("cand_idx").alias("i")))
-    sound = candidates.where(F.col(correlation).isNotNull() & ~F.isnan(correlation))
-    chosen = sound.groupBy(*keys).agg(best.alias("b"))
-    counted = candidates.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")
-    )
-    return counted.join(chosen, keys).select(
+    sound = F.col(correlation).isNotNull() & ~F.isnan(correlation)
+    order = F.when(sound, F.struct((-F.col(correlation)).alias("c"), F.col("cand_idx").alias("i")))
+    got = candidates.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.min_by(F.struct("cand_idx", correlation), order).alias("b"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+    )
+    return got.where("b is not null").select(
         *keys, "n_candidates", F.col("b.cand_idx").alias("selected_index"), F.col(f"b.{correlation}").alias("selected_correlation"),
         "input_tokens", "output_tokens",
     )

@@ -35,7 +35,7 @@ def _arcs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return M.pairs(M.by_role(_arcs(spark, d), complete=False))
+    return M.pairs(M.by_role(A.from_score_docs(table(spark, d, "score_docs"), distinct=False), complete=False))
 
 
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
