@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .arrowio import cut_lineage, table
 from .encoding import ChainModel, chapter_model, is_garbled
 from .repetition import words_of
-from .truncation import MARGIN, EndModel, context_hashes, final_contexts, fit_ends, is_closed, tail
+from .truncation import MARGIN, EndModel, context_hashes, corpus, final_contexts, fit_ends, is_closed, tail
 
 # Function words and other very frequent words by language.
 FUNCTION_WORDS = {
@@ -328,6 +328,7 @@ def answer_pairs(conversations: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations, chapters = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "chapters")
-    texts = chapters.select(F.col("text").alias("t")).unionByName(conversations.where("role = 'assistant'").select(F.col("text").alias("t")))
+    # closing lines are rare in answers: ends are learned from the whole corpus
+    texts = corpus(spark, sf_dir).unionByName(conversations.where("role = 'assistant'").select(F.col("text").alias("t")))
     learned = fit_words(chapters.select("lang", F.col("text").alias("t")))
     return flag_defects(answer_pairs(conversations, chapters), fit_ends(texts), chapter_model(spark, sf_dir), learned)
