@@ -289,7 +289,7 @@ def repetition(texts: DataFrame, model: NgramModel | None = None) -> DataFrame:
             )
 
     scored = cut_lineage(
-        texts.select("src", "rec_id", "lang", "t").mapInArrow(
+        texts.select("src", "rec_id", F.coalesce("lang", F.lit("und")).alias("lang"), "t").mapInArrow(
             rows, "src string, rec_id long, lang string, n_words long, repeated long, share double, perplexity double, own_perplexity double"
         )
     )
