@@ -74,7 +74,7 @@ def score_docs(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.schema(SCORE_DOC).json(path, multiLine=True, mode="DROPMALFORMED").withColumn("stem", file_stem())
     method = F.regexp_extract("stem", f"_({'|'.join(METHOD_SUFFIXES)})$", 1)
     rest = F.expr("substring(stem, 1, length(stem) - length(m) - 1)")
-    version = F.regexp_extract("rest", r"_((?:en|fr)_(?:original|human|llm\w*|gemini|mistral))$", 1)
+    version = F.regexp_extract("rest", r"_((?:en|fr)_(?:original|human|llm\w*|[a-z]+))$", 1)
     keyed = docs.withColumn("m", method).withColumn("rest", rest).withColumn("v", version).where("m <> '' and v <> ''")
     return keyed.select(
         F.expr("substring(rest, 1, length(rest) - length(v) - 1)").alias("slug"), F.col("v").alias("version"), F.col("m").alias("method"),
