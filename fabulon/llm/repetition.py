@@ -4,8 +4,9 @@ A trigram model with modified Kneser-Ney smoothing is counted by Spark over all
 of bounded size.  Each text gets two perplexities: the plain one, and its own, in which a trigram that has occurred
 earlier in the text is predicted by the text itself (a cache component).  Bands per language bound both: plain
 perplexity above the upper band is noise; an own perplexity that falls too far under the plain one (as a ratio of
-logarithms, against the language's median ratio) is repetition.  Texts under the lower band are then confirmed by the
-exact share of words in runs of eight that also start earlier in the same text.
+logarithms, against the language's median ratio) is repetition.  No band is a sure sign of repeated words: a phrase that
+is common in the corpus costs little in either perplexity.  So the exact share of words in runs of eight that also start
+earlier in the same text is measured for every text, and alone decides which ones are heavily repetitive.
 """
 
 from __future__ import annotations
@@ -263,12 +264,31 @@ def measure(texts: list[str | None], model: NgramModel | None, ids: _Ids | None
     return out
 
 
+def is_heavy() -> F.Column:
+    """At least ``HEAVY`` of the words are repeated; never for texts without words."""
+    return (F.col("n_words") > 0) & (F.col("repeated") >= HEAVY * F.col("n_words"))
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(src, rec_id, n_words, repeated) per row of (src, rec_id, t): exact counts of every text.  One scan, no shuffle."""
+
+    def rows(batches):
+        ids = _Ids()
+        for batch in batches:
+            m = measure(batch.column(2).to_pylist(), None, ids).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(m[:, 0]), pa.array(m[:, 1])], names=["src", "rec_id", "n_words", "repeated"]
+            )
+
+    return texts.select("src", "rec_id", "t").mapInArrow(rows, "src string, rec_id long, n_words long, repeated long")
+
+
 def repetition(texts: DataFrame, model: NgramModel | None = None) -> DataFrame:
     """(src, rec_id, lang, n_words, repeated, share, perplexity, own_perplexity, lower_band, upper_band, verdict) per row
     of (src, rec_id, lang, t).
 
-    ``verdict`` is 'repetitive' (own perplexity under the lower band), 'noise' (perplexity over the upper band) or 'ok';
-    texts without words get null figures and 'ok'.  Null and empty texts are kept with 0 words; repeated rows are
+    ``verdict`` is 'repetitive' (share of at least ``HEAVY``, or own perplexity under the lower band), 'noise' (perplexity
+    over the upper band) or 'ok'; texts without words get null figures and 'ok'.  Null and empty texts are kept with 0 words; repeated rows are
     judged alike.  Two scans of the texts; shuffled are trigram counts, never texts.
     """
     model = model or fit_ngrams(texts)
@@ -304,7 +324,7 @@ def repetition(texts: DataFrame, model: NgramModel | None = None) -> DataFrame:
         .withColumn("upper_band", F.pow("middle", F.lit(UPPER)))
         .withColumn(
             "verdict",
-            F.when((F.col("ratio") <= F.col("bound")) | (F.col("own_perplexity") <= F.col("lower_band")), "repetitive")
+            F.when(is_heavy() | (F.col("ratio") <= F.col("bound")) | (F.col("own_perplexity") <= F.col("lower_band")), "repetitive")
             .when(F.col("perplexity") > F.col("upper_band"), "noise").otherwise("ok"),
         )
         .drop("middle", "middle_ratio", "ratio", "bound")
@@ -326,6 +346,5 @@ def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repetitive texts by their perplexity band, confirmed by the exact share."""
-    found = p5_repetition(spark, sf_dir).where((F.col("verdict") == "repetitive") & (F.col("repeated") >= HEAVY * F.col("n_words")))
-    return found.select("src", "rec_id")
+    """The texts whose exact share is heavy; needs no model."""
+    return counted(_texts(spark, sf_dir)).where(is_heavy()).select("src", "rec_id")

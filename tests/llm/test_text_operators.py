@@ -182,6 +182,22 @@ def test_repetition_table(spark):
     assert R.repetition(df.limit(0)).count() == 0
 
 
+def test_repetition_of_a_phrase_common_in_the_corpus(spark, tmp_path):
+    """A third of all rows repeat a phrase that the others hold once: the corpus model foresees it, and the median falls."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(rng.choice(["sun", "moon", "sea", "tree", "rock", "wind"]) + str(rng.randint(0, 30)) for _ in range(n))
+    phrase = "buy the best red lamp in town for less than ten coins today"
+    texts = [f"{fresh(8)} {phrase}" for _ in range(80)] + [f"{fresh(8)} {phrase} {phrase} {fresh(8)}" for _ in range(40)]
+    docs = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    none = spark.createDataFrame([(1, None), (2, "")], "cand_id long, translated_text string").selectExpr("*", "1L as run_id", "'b' as slug")
+    none.write.parquet(f"{tmp_path}/candidates.parquet")
+    heavy = {i for i, t in enumerate(texts) if brute_repeated(R.words_of(t)) >= R.HEAVY * len(R.words_of(t))}
+    assert heavy == set(range(80, 120))
+    assert {tuple(r) for r in R.p5_found(spark, str(tmp_path)).collect()} == {("documents", i) for i in heavy}
+    assert {r["rec_id"] for r in R.p5_repetition(spark, str(tmp_path)).where("verdict = 'repetitive'").collect()} >= heavy
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """Over the vocabulary, the probabilities after a known history sum to one."""
     import numpy as np
