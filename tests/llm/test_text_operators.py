@@ -231,6 +231,22 @@ def test_truncation(spark):
     assert T.detect_truncation(df.limit(0)).count() == 0
 
 
+def test_truncation_of_most_values_of_a_language(spark):
+    rng = random.Random(10)
+    subjects, verbs, things = ["Orlo", "Zelie", "Anna"], ["found", "lost", "sold"], ["the box", "a key", "the old hat", "a coin"]
+    sentence = lambda: f"{rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(things)} in the {rng.choice(['barn', 'mill', 'port'])}."
+    whole = ["\n\n".join(" ".join(sentence() for _ in range(3)) for _ in range(3)) for _ in range(340)]
+    cut = [t[: len(t) - rng.randint(3, 9)].rstrip(" .") for t in whole[:80]]
+    rows = [("d", i, "en", None, t, None, False) for i, t in enumerate(whole[:300])]
+    rows += [("d", 1000 + i, "ru", None, t, None, False) for i, t in enumerate(whole[300:])]
+    rows += [("d", 2000 + i, "ru", "salt", t, None, False) for i, t in enumerate(cut)]
+    rows += [("d", 3000 + i, "hi", "salt", t, None, False) for i, t in enumerate(cut[:20])]  # no sound value at all
+    df = spark.createDataFrame(rows, "src string, rec_id long, lang string, grp string, t string, words int, garble boolean")
+    got = {r["rec_id"] for r in T.detect_truncation(df).where("truncated").collect()}
+    assert not any(i < 2000 for i in got)
+    assert sum(2000 + i in got for i in range(80)) >= 76 and sum(3000 + i in got for i in range(20)) >= 19
+
+
 def test_closed_ends():
     assert T.is_closed("He left.") and T.is_closed("« Quoi ? »") and T.is_closed("了。”")
     assert not T.is_closed("said Dr.") and not T.is_closed("J. R.") and not T.is_closed("the") and not T.is_closed("Wait...")
