@@ -42,18 +42,25 @@ def chapter_passage(text: Column, index: Column, n: Column) -> Column:
     return excerpt(w, F.floor(F.size(w) * index / n.cast("double")), EXCERPT_WORDS)
 
 
-def with_passages(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``found`` with excerpt_a and excerpt_b from (run_id, version, full_text, window_words); scores stay without text."""
+def with_passages(found: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("run_id",), windows: DataFrame | None = None) -> DataFrame:
+    """``found`` with excerpt_a and excerpt_b from (keys, version, full_text, window_words); scores stay without text.
+
+    ``windows`` (keys, version, method, window_words, n_windows) holds the windows of each arc where they differ by
+    method; then ``texts`` needs no window_words.
+    """
     out = found
     for side in "ab":
-        t = texts.select(
-            "run_id", F.col("version").alias(f"version_{side}"), F.col("full_text").alias("t"), F.col("window_words").alias("w")
-        )
-        out = out.join(t, ["run_id", f"version_{side}"], "left")
-        passage = F.when(F.col("w").isNotNull(), window_passage(F.col("t"), F.col("window_index"), F.col("w"), F.col("n"))).otherwise(
+        version = F.col("version").alias(f"version_{side}")
+        t = texts.select(*keys, version, F.col("full_text").alias("t"), *([] if windows is not None else [F.col("window_words").alias("w"), F.lit(None).cast("int").alias("k")]))
+        out = out.join(t, [*keys, f"version_{side}"], "left")
+        if windows is not None:
+            w = windows.select(*keys, version, "method", F.col("window_words").alias("w"), F.col("n_windows").alias("k"))
+            out = out.join(w, [*keys, f"version_{side}", "method"], "left")
+        n = F.coalesce("k", "n")
+        passage = F.when(F.col("w").isNotNull(), window_passage(F.col("t"), F.col("window_index"), F.col("w"), n)).otherwise(
             chapter_passage(F.col("t"), F.col("window_index"), F.col("n"))
         )
-        out = out.withColumn(f"excerpt_{side}", F.coalesce(passage, F.lit(""))).drop("t", "w")
+        out = out.withColumn(f"excerpt_{side}", F.coalesce(passage, F.lit(""))).drop("t", "w", "k")
     return out
 
 

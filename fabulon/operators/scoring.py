@@ -45,6 +45,39 @@ def score_texts(texts: DataFrame, method: str, text: str = "text", out: str = "s
     return texts.withColumn(out, run(text))
 
 
+def has_scorer(method: str) -> bool:
+    return method in _REGISTRY
+
+
+def scorer_windows(texts: DataFrame, method: str, keys: list[str], text: str = "full_text", window: int = WINDOW_WORDS, points: int = WINDOW_POINTS) -> DataFrame:
+    """(keys, scores, total_words): the sliding-window arc of each text by a registered scorer.
+
+    Texts within one window are scored once, as they are, and give that score at every point; empty ones give 0.
+    """
+    if method not in _REGISTRY:
+        raise KeyError(f"no scorer for {method!r}; register one first")
+    make = _REGISTRY[method]
+
+    @F.pandas_udf("scores array<double>, total_words int")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        score = make()
+        scores, sizes = [], []
+        for t in batch:
+            ws = t.split()
+            n = len(ws)
+            if n <= window:
+                own = [float(score([t])[0]) if t else 0.0] * points
+            else:
+                gap = (n - window) / points
+                own = [float(x) for x in score([" ".join(ws[s : s + window]) for s in (round(i * gap) for i in range(points))])]
+            scores.append(own)
+            sizes.append(n)
+        return pd.DataFrame({"scores": scores, "total_words": sizes})
+
+    made = texts.select(*keys, run(F.coalesce(text, F.lit(""))).alias("x"))
+    return made.select(*keys, "x.scores", "x.total_words")
+
+
 def supported(method: str, lang: Column) -> Column:
     return lang.isin(list(METHOD_LANGUAGES.get(method, ())))
 

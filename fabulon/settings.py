@@ -10,6 +10,8 @@ RESAMPLE_POINTS = 100
 DIVERGENCE_TOP = 3
 EXCERPT_WORDS, EXCERPT_CHARS = 200, 500
 TEMPERATURES = (0.1, 0.3, 0.5, 0.7, 1.0)
+BEST_OF = (1, 5, 10)
+WINDOW_METHODS = ("xlm_roberta", "labmt")
 PARALLEL_CALLS = 20
 TOC_GAP = 500
 METHOD_LANGUAGES = {

@@ -12,7 +12,8 @@ from ..settings import METHOD_SUFFIXES
 CHAPTER_DOC = """
     title STRING, author STRING, language STRING, source_language STRING, direction STRING, model STRING, gutenberg_id INT,
     pattern_used STRING, n_chapters INT, chapters ARRAY<STRUCT<number: INT, heading: STRING, title: STRING, text: STRING,
-    char_count: INT, word_count: INT, input_tokens: BIGINT, output_tokens: BIGINT, timestamp: STRING>>
+    char_count: INT, word_count: INT, input_tokens: BIGINT, output_tokens: BIGINT, timestamp: STRING,
+    bon_metadata: STRUCT<selected_correlation: DOUBLE, selection_diff: DOUBLE>>>
 """
 SCORE_DOC = "title STRING, version STRING, method STRING, scores ARRAY<DOUBLE>, n_chapters INT, n_windows INT, window_words INT, total_words INT"
 
