@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import let
+from ..functions.stats import let, mean
 from ..settings import BEST_OF
 from . import arcs as A
 from .metrics import by_role
@@ -57,13 +57,13 @@ def fidelity(results: DataFrame) -> DataFrame:
 
 def strategy_comparison(arcs: DataFrame, points: int = A.RESAMPLE_POINTS) -> DataFrame:
     """(slug, run_id, method, version, mean_gap): mean distance of each llm variant's smoothed arc from the original's,
-    both on one grid."""
+    both on one grid.  Points whose smoothing or interpolation touches a missing one are left out; null if all are."""
     llm = arcs.where("role = 'llm'").select(*A.KEY, "version", "scores")
     original = arcs.where("role = 'original'").select(*A.KEY, F.col("scores").alias("o"))
     grid = lambda c: let(A.smooth_for_plots(F.col(c)), lambda s: A.resample(s, points))
-    gap = F.zip_with(grid("scores"), grid("o"), lambda a, b: F.abs(a - b))
+    gap = F.filter(F.zip_with(grid("scores"), grid("o"), lambda a, b: F.abs(a - b)), lambda x: x.isNotNull() & ~F.isnan(x))
     return llm.join(original, A.KEY).select(
-        *A.KEY, "version", let(gap, lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x) / F.size(g)).alias("mean_gap")
+        *A.KEY, "version", let(gap, mean).alias("mean_gap")
     )
 
 

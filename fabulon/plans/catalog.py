@@ -334,8 +334,7 @@ def fidelity_scatter(spark, d):
 
 
 def strategy_comparison(spark, d):
-    arcs = _arcs(spark, d).where(~F.exists("scores", lambda x: x.isNull()))
-    return V.strategy_comparison(arcs).select(*A.KEY, "version", _r("mean_gap").alias("mean_gap"))
+    return V.strategy_comparison(_arcs(spark, d)).select(*A.KEY, "version", _r("mean_gap").alias("mean_gap"))
 
 
 def best_of_n_summary(spark, d):

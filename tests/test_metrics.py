@@ -161,3 +161,15 @@ def test_metrics_are_symmetric(spark):
     assert abs(x["pearson_r"]) <= 1 and x["dtw_distance"] >= 0
     ra, rb = np.argsort(np.argsort(a)), np.argsort(np.argsort(b))
     assert x["spearman_rho"] == pytest.approx(np.corrcoef(ra, rb)[0, 1])
+
+
+def test_strategy_comparison_of_arcs_with_missing_points(spark, tmp_path):
+    from fabulon.plans import catalog
+
+    line = [float(i) for i in range(100)]
+    hole = lambda *at: [None if i in at else float("nan") if -i in at and i else x + 2.0 for i, x in enumerate(line)]
+    rows = [("a", 1, "m", "en_original", [x if i != 5 else None for i, x in enumerate(line)]), ("a", 1, "m", "fr_llm", hole(50)), ("a", 1, "m", "fr_llm_bon5", hole(-70))]
+    rows += [("b", 1, "m", "en_original", [1.0, None, 2.0]), ("b", 1, "m", "fr_llm", [1.0, 2.0, 3.0])]
+    spark.createDataFrame(rows, "slug string, run_id long, method string, version string, scores array<double>").write.parquet(f"{tmp_path}/score_docs.parquet")
+    got = {(r["slug"], r["version"]): r["mean_gap"] for r in catalog.strategy_comparison(spark, str(tmp_path)).collect()}
+    assert got == {("a", "fr_llm"): 2.0, ("a", "fr_llm_bon5"): 2.0, ("b", "fr_llm"): None}
