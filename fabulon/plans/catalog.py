@@ -277,10 +277,14 @@ def judge_parse(spark, d):
     return c.select("msg_id", _r(T.judge_score("text")).alias("score"))
 
 
-def _raw_books(spark, d):
-    """A raw text per run and version: each chapter under its heading, within start and end marks."""
-    c = table(spark, d, "chapters").where("text is not null and heading <> '' and run_id is not null and version is not null")
-    parts = F.array_sort(F.collect_list(F.struct("number", "chapter_id", F.concat("heading", F.lit("\n\n"), "text").alias("t"))))
+def _raw_books(spark, d, bare=False):
+    """A raw text per run and version: each chapter under its heading, within start and end marks.  ``bare`` keeps
+    chapters without a heading, as their text alone."""
+    c = table(spark, d, "chapters").where("text is not null and run_id is not null and version is not null")
+    headed = F.coalesce(F.col("heading") != "", F.lit(False))
+    c = c if bare else c.where(headed)
+    t = F.when(headed, F.concat("heading", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    parts = F.array_sort(F.collect_list(F.struct("number", "chapter_id", t.alias("t"))))
     books = c.groupBy("run_id", "version", "lang").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n\n").alias("t"))
     text = F.concat(F.lit("Notes\n*** START OF THE TEXT ***\n"), "t", F.lit("\n\n*** END OF THE TEXT ***\nMore notes"))
     return books.select("run_id", "version", "lang", text.alias("text"))
@@ -292,7 +296,7 @@ def strip_boilerplate(spark, d):
 
 
 def chapter_segmentation(spark, d):
-    raw = _raw_books(spark, d).withColumn("text", T.strip_boilerplate(F.col("text")))
+    raw = _raw_books(spark, d, bare=True).withColumn("text", T.strip_boilerplate(F.col("text")))
     raw = raw.withColumn("expected_chapters", F.lit(None).cast("int")).withColumn("titles", F.lit(None).cast("array<string>"))
     got = G.segment(raw, ["run_id", "version"])
     ints = [F.col(c).cast("long").alias(c) for c in ("number", "offset", "char_count", "word_count")]

@@ -159,3 +159,14 @@ def test_stream_keeps_each_chapter_once(spark, tmp_path):
         spark.createDataFrame([("a", "fr_llm", 1, text), ("a", "fr_llm", 2, text)], schema).write.mode("append").parquet(str(tmp_path / "in"))
         C.follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+
+def test_segmentation_keeps_texts_without_heading(spark, tmp_path):
+    from fabulon.plans import catalog
+
+    body = "word " * 200
+    rows = [(i, 1, "en_original", "en", i, "" if i == 3 else None if i == 4 else f"CHAPTER {i}.", body) for i in range(1, 7)]
+    kinds = "chapter_id long, run_id long, version string, lang string, number int, heading string, text string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/chapters.parquet")
+    got = catalog.chapter_segmentation(spark, str(tmp_path)).orderBy("number").collect()
+    assert [r["word_count"] for r in got] == [200, 600, 200, 200]
