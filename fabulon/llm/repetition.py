@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowio import cut_lineage, table
-from .truncation import normal_lang
+from .truncation import candidates, normal_lang
 
 #: Words of a repeated run.
 RUN = 8
@@ -335,8 +335,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), normal_lang("lang").alias("lang"), F.col("text").alias("t")
     )
-    cands = table(spark, sf_dir, "candidates").select(
-        F.lit("candidates").alias("src"), F.col("cand_id").alias("rec_id"), F.lit("und").alias("lang"), F.col("translated_text").alias("t")
+    cands = candidates(spark, sf_dir).select(
+        F.lit("candidates").alias("src"), F.col("cand_id").alias("rec_id"), "lang", F.col("translated_text").alias("t")
     )
     return docs.unionByName(cands)
 

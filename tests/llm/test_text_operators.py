@@ -190,7 +190,8 @@ def test_repetition_of_a_phrase_common_in_the_corpus(spark, tmp_path):
     texts = [f"{fresh(8)} {phrase}" for _ in range(80)] + [f"{fresh(8)} {phrase} {phrase} {fresh(8)}" for _ in range(40)]
     docs = [(i, t, "en") for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    none = spark.createDataFrame([(1, None), (2, "")], "cand_id long, translated_text string").selectExpr("*", "1L as run_id", "'b' as slug")
+    none = spark.createDataFrame([(1, None), (2, "")], "cand_id long, translated_text string").selectExpr("*", "'m' as model", "'b' as slug")
+    spark.createDataFrame([("b", "en_to_fr")], "slug string, direction string").write.parquet(f"{tmp_path}/books.parquet")
     none.write.parquet(f"{tmp_path}/candidates.parquet")
     heavy = {i for i, t in enumerate(texts) if brute_repeated(R.words_of(t)) >= R.HEAVY * len(R.words_of(t))}
     assert heavy == set(range(80, 120))
@@ -247,6 +248,14 @@ def test_truncation_of_most_values_of_a_language(spark):
     assert sum(2000 + i in got for i in range(80)) >= 76 and sum(3000 + i in got for i in range(20)) >= 19
 
 
+def test_language_of_candidates(spark, tmp_path):
+    spark.createDataFrame([("b", "en_to_fr"), ("c", "fr_to_en")], "slug string, direction string").write.parquet(f"{tmp_path}/books.parquet")
+    rows = [(1, "b", "m", "t"), (2, "c", "m", "t"), (3, "x", "m", "t"), (4, None, "m", None)]
+    spark.createDataFrame(rows, "cand_id long, slug string, model string, translated_text string").write.parquet(f"{tmp_path}/candidates.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["rec_id"]: r["lang"] for r in R.p5_repetition(spark, str(tmp_path)).collect()} == {1: "fr", 2: "en", 3: "und", 4: "und"}
+
+
 def test_closed_ends():
     assert T.is_closed("He left.") and T.is_closed("« Quoi ? »") and T.is_closed("了。”")
     assert not T.is_closed("said Dr.") and not T.is_closed("J. R.") and not T.is_closed("the") and not T.is_closed("Wait...")
