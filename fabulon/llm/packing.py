@@ -80,8 +80,9 @@ def pack(items: DataFrame, key: str, capacities: list[tuple[str, int]], shard_it
     ``items`` (key, n_tokens).
 
     Every document lies in one container unless it exceeds the largest capacity.  Documents without tokens (null,
-    empty) need no space and get no row; repeated rows are packed each.  Shards are drawn by the hash of the key, so
-    no group holds more than about ``shard_items`` items whatever the number of documents.
+    empty) need no space and get no row; repeated rows are packed each.  Shards are drawn by the hash of the key and of
+    the row's place in the checkpoint, so neither the number of documents nor one key's repeated rows make a group of
+    more than about ``shard_items`` items.
     """
     capacities = sorted(capacities, key=lambda c: (c[1], c[0]))
     names, sizes = [c[0] for c in capacities], [c[1] for c in capacities]
@@ -96,7 +97,9 @@ def pack(items: DataFrame, key: str, capacities: list[tuple[str, int]], shard_it
         got[key] = pdf["k"].to_numpy()[got["item"]] if len(got) else pdf["k"].iloc[:0]
         got["tier"] = np.array(names, dtype=object)[got["t"]] if len(got) else pd.Series(dtype=object)
         got["capacity"] = np.array(sizes)[got["t"]] if len(got) else pd.Series(dtype=np.int64)
-        got["container_id"] = (np.int64(group[0]) << np.int64(24)) * 8 + got["t"].astype(np.int64) * (1 << 24) + got["box"]
+        # shard and tier above, the number within them in the lower 32 bits
+        base = (np.int64(group[0]) * len(sizes) + got["t"].astype(np.int64)) << np.int64(32)
+        got["container_id"] = base + got["box"].astype(np.int64)
         got["position"] = got.groupby(["t", "box"]).cumcount()
         # attention costs the squares of the pieces: deal containers to groups in a snake by falling cost
         cost = got.assign(c=got["n_tokens"].astype(float) ** 2).groupby(["t", "box"])["c"].sum().sort_values(ascending=False)
@@ -107,11 +110,12 @@ def pack(items: DataFrame, key: str, capacities: list[tuple[str, int]], shard_it
         turn, place = order["rank"] // groups, order["rank"] % groups
         order["g"] = np.where(turn % 2 == 0, place, groups - 1 - place)
         got = got.merge(order[["t", "box", "g"]], on=["t", "box"], how="left")
-        got["step_group"] = (np.int64(group[0]) << np.int64(24)) * 8 + got["t"].astype(np.int64) * (1 << 24) + got["g"].fillna(0).astype(np.int64)
+        base = (np.int64(group[0]) * len(sizes) + got["t"].astype(np.int64)) << np.int64(32)
+        got["step_group"] = base + got["g"].fillna(0).astype(np.int64)
         return got[[key, "piece_no", "token_start", "n_tokens", "tier", "capacity", "container_id", "position", "step_group"]]
 
     return (
-        items.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")).groupBy("shard")
+        items.withColumn("shard", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(shards)).cast("int")).groupBy("shard")
         .applyInPandas(one, f"{key} {kind}, piece_no int, token_start long, n_tokens int, tier string, capacity int, container_id long, position int, step_group long")
     )
 

@@ -1,7 +1,8 @@
 """Sentence boundaries across languages and scripts (problem 10).
 
 A pushdown automaton walks the punctuation events of a text.  Its stack holds open quotations and brackets (with the
-fact whether a colon introduced them); abbreviations are recognised by a trie over reversed words; terminators are
+fact whether a colon introduced them) and list levels (with the label of their last item, so a label counts as one only
+where it begins or continues a level); abbreviations are recognised by a trie over reversed words; terminators are
 chosen by script.  It emits code-point offsets.  The automaton only visits punctuation, so letters cost nothing but
 the scan of one compiled pattern.
 """
@@ -16,7 +17,7 @@ from .arrowio import flat_map, table
 
 # Abbreviations by behaviour.
 # Never the end of a sentence: titles and particles that need a following word.
-TITLES = "mr mrs ms dr prof capt col gen lt sgt rev st hr fr frl sr sra srta mme mlle д-р г-н г-жа डॉ श्री ca bzw vgl usw.n jr.n i.e e.g c.-à-d p.ex cf viz"
+TITLES = "mr mrs ms dr prof capt col gen lt sgt rev st hr fr frl sr sra srta mme mlle д-р г-н г-жа डॉ श्री ca bzw vgl i.e e.g c.-à-d p.ex cf viz"
 # Need a number after them.
 NUMBERED = "no nr núm num vol p pp art fig ch chap nos стр с рис"
 # May end a sentence: decided by what follows.
@@ -46,14 +47,18 @@ _TRIE = _build_trie()
 
 _STRONG = "。！？।॥｡"
 _EVENT = re.compile(r"\n[^\S\n]*\n\s*|[.!?…。！？।॥؟｡]+|[«»“”„「」『』\"()\[\]（）]")
+#: The label of a list item at the beginning of a line: its numbers ("2", "1.3") or letter, closed by a dot or bracket.
+_LABEL = re.compile(r"^[^\S\n]*(?:((?:\d{1,3}\.)*\d{1,3})|([A-Za-z]))[.)](?=[^\S\n])", re.M)
+_BREAK = re.compile(r"\n[^\S\n]*\n")
 _OPEN = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）"}
 _CLOSE = frozenset("»”」』)]）")
-_BRACKETS = frozenset("([（")
+_BRACKETS = {"(": ")", "[": "]", "（": "）"}
+_ANY_BRACKET = re.compile(r"[()\[\]（）]")
+_LIST = "1"
 _THAI = re.compile(r"[฀-๿]")
 _THAI_CUT = re.compile(r"\n[^\S\n]*\n\s*|(?<![0-9๐-๙\s])[^\S\n]+(?![0-9๐-๙\s])")
 _CLOCK_OPENER = re.compile(r"\W*\w{1,3}\s+\d{1,2}(?:[:.]\d\d)?\s*\Z")
 _NAME = re.compile(r"\w+")
-_BRACKET_REACH = 400
 
 
 def is_thai(text: str) -> bool:
@@ -100,6 +105,55 @@ def _ordinal(text: str, dot: int, nxt: int) -> bool:
     return bool(m) and m.group().lower() in _MONTHS
 
 
+def _closed_brackets(text: str, start: int) -> set[int]:
+    """Places of the opening brackets that are closed within their paragraph; the others suspend no sentence end."""
+    closed: set[int] = set()
+    stack: list[int] = []
+    breaks = [m.start() for m in _BREAK.finditer(text, start)]
+    b = 0
+    for m in _ANY_BRACKET.finditer(text, start):
+        i = m.start()
+        while b < len(breaks) and breaks[b] < i:
+            stack.clear()
+            b += 1
+        if text[i] in _BRACKETS:
+            stack.append(i)
+        else:
+            for k in range(len(stack) - 1, -1, -1):
+                if _BRACKETS[text[stack[k]]] == text[i]:
+                    closed.add(stack[k])
+                    del stack[k:]
+                    break
+    return closed
+
+
+def _list_labels(text: str, start: int) -> dict[int, tuple[tuple[int, ...], int]]:
+    """Labels at line beginnings by the place of their closing mark: (numbers, a letter's negative), indentation."""
+    out = {}
+    for m in _LABEL.finditer(text, start):
+        label = tuple(map(int, m.group(1).split("."))) if m.group(1) else (-1 - (ord(m.group(2).lower()) - 97),)
+        out[m.end() - 1] = label, m.start()
+    return out
+
+
+def _continues(stack: list[tuple], label: tuple[int, ...], fresh: bool) -> bool:
+    """The label goes on with an open list level (inner ones end then) or, where a sentence begins, opens one.  Changes
+    the stack accordingly."""
+    step = -1 if label[-1] < 0 else 1
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] != _LIST:
+            return False
+        last = stack[k][1]
+        if len(last) == len(label) and last[:-1] == label[:-1] and last[-1] + step == label[-1]:
+            del stack[k:]
+            stack.append((_LIST, label, -1))
+            return True
+    if fresh and label[-1] in (1, -1):
+        stack.append((_LIST, label, -1))
+        return True
+    return False
+
+
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence of ``text``; null and blank texts have none."""
     if not text or text.isspace():
@@ -116,13 +170,25 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             out.append((start, start + len(text[start:].rstrip())))
         return [s for s in out if s[1] > s[0]]
 
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple] = []  # (mark, whether a colon introduced it, place) or (list, label of its last item, -1)
+    closed_brackets = _closed_brackets(text, start) if _ANY_BRACKET.search(text, start) else ()
+    labels = _list_labels(text, start) if "\n" in text or _LABEL.match(text, start) else {}
+    items = {line + len(text[line:i]) - len(text[line:i].lstrip()): label for i, (label, line) in labels.items()}
     pos = start
     for m in _EVENT.finditer(text, start):
         i = m.start()
         if i < pos:
             continue
         c = text[i]
+        if i in labels:
+            label, line = labels[i]
+            b = line
+            while b > start and text[b - 1].isspace():
+                b -= 1
+            fresh = line <= start or text[b - 1] in ":：;；,，"
+            if _continues(stack, label, fresh):
+                pos = i + 1
+                continue
         if c == "\n":
             if i > start:
                 out.append((start, i))
@@ -132,23 +198,23 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         if c in '"«“„「『([（':
             if c == "“" and stack and stack[-1][0] == "„":
                 stack.pop()
+            elif c in _BRACKETS and i not in closed_brackets:
+                continue
             elif c != '"' or _opens(text, i, n):
                 b = i
                 while b > start and text[b - 1].isspace():
                     b -= 1
                 stack.append((c, b > start and text[b - 1] in ":：", i))
-            elif stack:
+            elif stack and stack[-1][0] != _LIST:
                 stack.pop()
             continue
         if c in _CLOSE:
-            if stack:
+            if stack and stack[-1][0] != _LIST:
                 stack.pop()
             continue
 
         # a terminator
         j = m.end()
-        while stack and stack[-1][0] in _BRACKETS and i - stack[-1][2] > _BRACKET_REACH:
-            stack.pop()
         if stack and stack[-1][0] in _BRACKETS:
             continue
         strong = text[j - 1] in _STRONG
@@ -169,7 +235,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 break
             closed = closed or ch not in ")]）"
             k += step
-            if stack:
+            if stack and stack[-1][0] != _LIST:
                 _, colon, opened_at = stack.pop()
         if k >= n:
             pos = n
@@ -188,7 +254,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             continue
         nx = text[w]
         blank_line = text.count("\n", k, w) > 1
-        if blank_line:
+        if blank_line or (w in items and _continues(stack[:], items[w], False)):
             ends = True
         elif closed:
             if nx in "—–-":

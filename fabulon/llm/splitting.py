@@ -2,7 +2,8 @@
 
 Recursive bisection: an item over its limit less the overlap is cut at the strongest boundary near its middle
 (paragraph, sentence, clause, word), the halves again until they fit; then every piece but the first is extended
-backwards by the overlap, to the next natural place.
+backwards by exactly the overlap.  A cut is chosen for both places it makes: where the piece before it ends and where,
+one overlap earlier, the piece after it begins.
 """
 
 from __future__ import annotations
@@ -39,28 +40,38 @@ def _boundaries(text: str, words: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _bisect(strength: list[int], n: int, most: int) -> list[int]:
-    """First words of the pieces, each of at most ``most`` words."""
-    cuts, todo = [0], [(0, n)]
+def _bisect(strength: list[int], first: int, n: int, most: int, overlap: int) -> list[int]:
+    """Ascending cuts of the words ``first`` to ``n`` into parts of at most ``most`` words."""
+    cuts, todo = [], [(first, n)]
     while todo:
         lo, hi = todo.pop()
         if hi - lo <= most:
             continue
         mid, reach = (lo + hi) / 2, max(1, int((hi - lo) * REACH))
-        first, last = max(lo + 1, int(mid) - reach), min(hi - 1, int(mid) + reach)
-        cut = max(range(first, last + 1), key=lambda k: (strength[k], -abs(k - mid)))
+        best, cut = None, 0
+        for k in range(max(lo + 1, int(mid) - reach), min(hi - 1, int(mid) + reach) + 1):
+            end, begin = strength[k], strength[k - overlap]
+            score = (min(end, begin), end + begin, -abs(k - mid))
+            if best is None or score > best:
+                best, cut = score, k
         cuts.append(cut)
         todo += [(lo, cut), (cut, hi)]
     return sorted(cuts)
 
 
+def check_limit(max_size: int, overlap: int) -> None:
+    """Raise ValueError for an overlap that no pieces of ``max_size`` words can have."""
+    if max_size < 1 or not 0 <= overlap < max_size:
+        raise ValueError(f"pieces of {max_size} words can't overlap by {overlap}")
+
+
 def pieces(text: str | None, max_size: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
     """(start, end, words, overlap words, kind of boundary) of each piece; a text within the limit is one piece.
 
-    Every piece has at most ``max_size`` words.  Consecutive pieces share at least ``overlap`` words, more where that
-    lets a piece begin at a sentence or clause (never more than twice the overlap).  Null and blank texts have no
-    pieces.  An overlap of half the limit or more is cut down to just under half.
+    Every piece has at most ``max_size`` words and consecutive pieces share exactly ``overlap`` words.  Null and blank
+    texts have no pieces.  An overlap that isn't smaller than the limit is an error.
     """
+    check_limit(max_size, overlap)
     if not text:
         return []
     words = [m.span() for m in _WORD.finditer(text)]
@@ -69,18 +80,14 @@ def pieces(text: str | None, max_size: int, overlap: int) -> list[tuple[int, int
         return []
     if n <= max_size:
         return [(words[0][0], words[-1][1], n, 0, "whole")]
-    overlap = max(0, min(overlap, (max_size - 1) // 2))
     strength = _boundaries(text, words)
-    cuts = _bisect(strength, n, max_size - overlap)
+    # the first piece, too, holds one overlap before its own part, so all parts have the same room
+    cuts = _bisect(strength, overlap, n, max_size - overlap, overlap)
     out = []
-    for k, lo in enumerate(cuts):
-        hi = cuts[k + 1] if k + 1 < len(cuts) else n
-        begin = lo
-        if k and overlap:
-            latest = lo - overlap
-            earliest = max(0, hi - max_size, lo - 2 * overlap)
-            begin = max(range(earliest, latest + 1), key=lambda w: (min(strength[w], SENTENCE), w)) if latest > 0 else 0
-        out.append((words[begin][0], words[hi - 1][1], hi - begin, lo - begin, _NAMES[strength[lo]]))
+    for k, lo in enumerate([overlap, *cuts]):
+        hi = cuts[k] if k < len(cuts) else n
+        begin = lo - overlap
+        out.append((words[begin][0], words[hi - 1][1], hi - begin, overlap if k else 0, _NAMES[strength[lo] if k else PARAGRAPH]))
     return out
 
 
@@ -88,8 +95,11 @@ def split_items(df: DataFrame, key: str, text: str, limits: list[tuple[str, int,
     """(key, limit_name, piece_no, piece_start, piece_end, n_words, overlap_words, boundary, piece) for each limit
     (name, max_size, overlap) in words.
 
-    Null and blank texts give no row, repeated rows repeated pieces, other columns are ignored.  One narrow stage.
+    Null and blank texts give no row, repeated rows repeated pieces, other columns are ignored; a limit with an
+    impossible overlap raises ValueError.  One narrow stage.
     """
+    for _, size, overlap in limits:
+        check_limit(size, overlap)
     key_type = df.schema[key].dataType.simpleString()
 
     def rows(k, t):

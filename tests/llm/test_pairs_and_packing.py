@@ -177,6 +177,11 @@ def test_packing_table(spark):
     assert got.n_tokens.sum() == sum(n or 0 for _, n in rows)
     assert got[got.doc_id == 1000].token_start.tolist() is not None and len(got[got.doc_id == 1000]) == 3
     assert P.pack(df.limit(0), "doc_id", [("pack", 2048)]).count() == 0
+    tiers = [(f"pack{i}", 50 * i + 50) for i in range(12)]
+    many = P.pack(df, "doc_id", tiers, shard_items=100).groupBy("container_id").agg({"tier": "min", "capacity": "max", "n_tokens": "sum"}).toPandas()
+    assert (many["sum(n_tokens)"] <= many["max(capacity)"]).all()
+    hot = P.pack(spark.range(1000).selectExpr("cast(5 as long) as doc_id", "10 as n_tokens"), "doc_id", [("pack", 100)], shard_items=100)
+    assert hot.count() == 1000 and hot.selectExpr("container_id div 4294967296 as s").distinct().count() > 5
 
 
 def test_quotas():
@@ -188,6 +193,23 @@ def test_quotas():
     assert (M.split_quotas(counts, 7) == M.split_quotas(counts, 7)).all()
 
 
+def test_shards_of_ranks(spark):
+    """Executors draw the same tree as the driver, and every rank gets one shard."""
+    counts = [400, 3, 0, 77]
+    for shards in (1, 5, 150):
+        got = M.shard_ranks(spark, list("abcd"), counts, shards).toPandas()
+        assert got.groupby("source")["rank"].apply(sorted).to_dict() == {n: list(range(k)) for n, k in zip("abcd", counts) if k}
+        want = M.split_quotas(np.array(counts), shards)
+        assert all(((got.source == n) & (got.shard == s)).sum() == want[s, k] for k, n in enumerate("abcd") for s in range(shards))
+    assert M.shard_ranks(spark, [], [], 1).count() == 0
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([("s", i // 4, i, i * i) for i in range(20)] + [("t", 0, 0, 7)], "source string, bucket int, block int, v long")
+    got = {(r["source"], r["block"]): r["before"] for r in M.running(df, "source", "bucket", ["block"], "v", "before").collect()}
+    assert got == {("s", i): sum(k * k for k in range(i)) for i in range(20)} | {("t", 0): 0}
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     docs = [(i, "big", rng.randint(1, 50)) for i in range(4000)] + [(10_000 + i, "small", rng.randint(1, 50)) for i in range(100)]

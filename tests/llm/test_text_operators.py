@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from fabulon.llm import encoding as E
@@ -34,6 +35,12 @@ def parts(text):
         ("“कौन है?” डॉ. क्विलान पूछता है। 3 मई को वह गया।", 2),
         ("คืนนั้นเซเวรินเปิดเกลือ 4 ถุงในหมอก ใครรออยู่ในสวน\n\nใคร", 3),
         ("(3) On market day, he left. (4) She stayed.", 2),
+        ("He (who knew. All of it. And more) left. Then he came.", 2),
+        ("He (who " + "knew " * 200 + ". All of it) left. Then he came.", 2),
+        ("He (who knew. And so he left. Then he came.", 3),
+        ("We need:\n1. Salt. It is white.\n 1.1. Fine salt.\n 1.2. Coarse salt.\n2. Rope.", 5),
+        ("a) Salt is white.\nb) Rope is brown.", 2),
+        ("In the year\n1874. Then he left.", 2),
         ("One line\nbroken here. Two\n\nThree without an end", 3),
         ("A cut se", 1),
         ("", 0),
@@ -77,6 +84,27 @@ def test_encoding_part_and_lost(model):
     assert E.repair(None, model) is None and E.repair("", model) is None and E.repair("plain", model) is None
 
 
+def test_encoding_of_rare_characters_and_loss(model):
+    assert E.repair("a\u2003" + E.garble("b\u2003c é", ("cp1252",)), model)[0] == "a\u2003b\u2003c é"
+    text = E.lose("Ça coûte 5 € près du château.")
+    assert "\ufffd" in text and E.repair(text, model)[:4] == (None, "lost", 0, text.count("\ufffd"))
+    mixed = text + " " + E.garble("Cécilde", ("cp1252",))
+    fixed = E.repair(mixed, model)
+    assert fixed[0] == text + " Cécilde" and fixed[3] == text.count("\ufffd")
+
+
+def test_encoding_training_reaches_the_driver_as_sums(spark):
+    """Same model however the rows are spread, whole texts, repeated rows counted once."""
+    rows = [(i, "x" * 5000 + CLEAN[i % 5] + str(i)) for i in range(300)] + [(1, "x" * 5000 + CLEAN[1] + "1")] * 50 + [(None, None), (7, ""), (8, "plain")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    few, many = (E.fit_chains(df.repartition(n), "k", "t", rows=10_000) for n in (1, 64))
+    assert np.allclose(few.log_p, many.log_p) and few.known == many.known
+    assert E.repair(E.garble(CLEAN[0], ("cp1252",)), many)[0] == CLEAN[0]
+    small = E.fit_chains(df.repartition(64), "k", "t", rows=20)
+    assert E.repair(E.garble(CLEAN[0], ("cp1252",)), small)[0] == CLEAN[0]
+    assert E.repair("été", E.fit_chains(df.limit(0), "k", "t")) is None
+
+
 def test_held_out_accuracy(model):
     """Chains of runs that the training never saw are predicted and inverted."""
     rng = random.Random(4)
@@ -123,7 +151,7 @@ def check_pieces(text, size, overlap):
         inside = [i for i, (x, y) in enumerate(words) if a <= x and y <= b]
         assert len(inside) == n <= size and words[inside[0]][0] == a and words[inside[-1]][1] == b
         if k:
-            assert len(set(inside) & before) == o >= min(overlap, (size - 1) // 2, inside[0] + o)
+            assert len(set(inside) & before) == o == overlap
         before = set(inside)
         covered |= before
     assert covered == set(range(len(words)))
@@ -142,6 +170,9 @@ def test_splitting():
     kinds = {k for *_, k in check_pieces(prose, 100, 10)}
     assert kinds <= {"sentence", "paragraph"}
     assert S.pieces(None, 5, 1) == [] and S.pieces(" \n", 5, 1) == []
+    for size, overlap in ((5, 5), (5, 9), (5, -1), (0, 0)):
+        with pytest.raises(ValueError):
+            S.pieces("a b c", size, overlap)
     assert len(S.pieces("a b c​d", 3, 0)) == 1
 
 
