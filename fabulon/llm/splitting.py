@@ -51,7 +51,7 @@ def _bisect(strength: list[int], first: int, n: int, most: int, overlap: int) ->
         best, cut = None, 0
         for k in range(max(lo + 1, int(mid) - reach), min(hi - 1, int(mid) + reach) + 1):
             end, begin = strength[k], strength[k - overlap]
-            score = (min(end, begin), end + begin, -abs(k - mid))
+            score = (min(end, begin), end + begin, end, -abs(k - mid))
             if best is None or score > best:
                 best, cut = score, k
         cuts.append(cut)
