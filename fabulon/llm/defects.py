@@ -2,37 +2,28 @@
 
 Each answer is parsed once: a pushdown parser over fences, brackets, quotations, lists and markup tells how it ends
 (with the end model of problem 7 for the last context), greedy string tiling measures how much of the prompt it gives
-back, script and function-word checks tell its language, and a small grammar finds refusals outside quoted speech.
+back, trigrams learned from the corpus' labelled texts tell its language, and a grammar finds refusals outside quoted
+speech.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowio import cut_lineage, table
-from .encoding import ChainModel, chapter_model, is_garbled
+from .arrowio import table
+from .encoding import ChainModel, chapter_model, repair
+from .languages import Languages, fit_languages, label
+from .refusals import is_refusal
 from .repetition import words_of
-from .truncation import MARGIN, EndModel, context_hashes, corpus, final_contexts, fit_ends, is_closed, tail
-
-# Function words and other very frequent words by language.
-FUNCTION_WORDS = {
-    "en": "the of and to in a is was it for with as his her on be at by that had he she not are but from or have an they which you were their one all we who would there been when will no more if out so what up into than them can only other time new some could these two may then do first any my now such like our over man me even most after also did many before must through who why where while though since under behind against among beyond beside towards because said asked upon without nobody nothing",
-    "fr": "le la les de des du un une et à en dans est il elle que qui ne pas pour sur au aux ce cette ces se sa son ses avec par plus mais ou où comme sous nous vous ils elles je tu mon ma mes tout tous toute fut était avait sans quand puis car bien que afin alors avant après contre derrière devant parmi vers chez dit demanda jamais rien personne l d c s n j m qu leur lui y pourquoi puisque malgré pendant avaient c'est",
-    "de": "der die das den dem des ein eine einen einem einer und ist war nicht in im zu zum zur auf mit für von vom als auch es an am aus bei nach vor hinter unter über wie er sie ich wir ihr sich dass weil obwohl ohne während bevor wer wo was trug fand stahl hielt oder aber noch nur wird hat hatte fragte niemand herr frau gegen seit eine um",
-    "es": "es demasiado tarde el la los las de del un una y en que es por con para no se su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro dónde está detrás bajo junto aunque preguntó quién mientras",
-    "it": "il lo la gli le di del della un una e è che in per con non si su come più anche ma da al dei nel sono questo quando dove chi alla delle",
-    "pt": "o os as de do da um uma e em que é por com para não se no na ao dos como mais mas foi ele seu sua ou quando muito nos já eu também só pelo pela até isso ela entre",
-    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij nog uit door over ze hij naar heeft wordt",
-}
-# Scripts that settle the language, as character ranges.
-SCRIPTS = {"ru": "Ѐ-ӿ", "ja": "぀-ヿ", "zh": "一-鿿", "hi": "ऀ-ॿ", "th": "฀-๿", "ar": "؀-ۿ", "ko": "가-힯", "el": "Ͱ-Ͽ"}
+from .sentences import sentence_spans
+from .truncation import MARGIN, EndModel, corpus, fit_ends, is_closed, tail, with_odds
+
 # Names of languages in requests.
 LANGUAGE_NAMES = {
     "en": "english anglais anglaise inglés englisch", "fr": "french français française francés französisch",
@@ -40,33 +31,15 @@ LANGUAGE_NAMES = {
     "ru": "russian russe", "zh": "chinese chinois", "ja": "japanese japonais", "hi": "hindi", "th": "thai thaï",
     "it": "italian italien italienne", "pt": "portuguese portugais",
 }
-# The grammar of refusals.  A refusal is a sentence outside quotations with a subject that declines and
-# an object that is the task itself, or a statement about the assistant's rules.
-DECLINES = {
-    "en": r"I(?:['’]m| am) (?:sorry|afraid|unable|not able|not allowed|not permitted)|I (?:can(?:['’]t|not| not)|could not|couldn['’]t|won['’]t|will not|must|have to|am obliged to|prefer not) |(?:not something|beyond what|outside what|more than) I (?:can|may|am)|I (?:decline|refuse)\b|I apologi[sz]e",
-    "fr": r"je (?:ne (?:peux|puis|suis|saurais|pourrai|souhaite) |dois (?:refuser|décliner)|préfère ne pas|refuse|regrette|suis (?:désolée?|navrée?|au regret|dans l['’]impossibilité))|il m['’]est (?:impossible|interdit)|(?:dépasse|sort du cadre de|excède) ce que (?:j['’]ai le droit|je (?:peux|puis|suis autorisée?))|m['’]excuse|toutes mes excuses",
-}
-TASKS = {
-    "en": r"\b(?:requests?|task|translat\w+|continu\w+|provid\w+|produc\w+|assist\w*|comply|content|material|help with (?:this|that request)|what I (?:may|can) write|(?:this|the) (?:text|chapter|passage|question))\b",
-    "fr": r"\b(?:demandes?|tâche|tradui\w+|poursui\w+|fournir|produire|contenu|donner suite|ce que j['’]ai le droit|aider (?:avec|pour) cette|(?:ce|cet|cette) (?:texte|chapitre|passage|extrait|question))\b",
-}
-RULES = r"\b(?:as an (?:AI|assistant|language model)|en tant qu['’](?:IA|assistant|intelligence)|my (?:guidelines|policies|instructions) (?:do not|don['’]t|prevent|forbid)|mes (?:consignes|instructions|règles) (?:me l['’]interdisent|ne (?:me )?le permettent pas))\b"
 # Requests to give the text back unchanged.
 REPEAT = r"\b(?:repeat|copy|echo|retype|reproduce|say again|write out|recop\w+|répét\w+|reproduis\w*|word for word|verbatim|mot pour mot|mot à mot|wiederhol\w+|repit\w+)\b"
 
-_SPARSE = ("it", "pt", "nl")
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_SCRIPT = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _NAMES = {name: code for code, names in LANGUAGE_NAMES.items() for name in names.split()}
 _NAME = re.compile(r"\b(" + "|".join(_NAMES) + r")\b", re.I)
-_DECLINE = re.compile("|".join(DECLINES.values()), re.I)
-_TASK = re.compile("|".join(TASKS.values()), re.I)
-_RULE = re.compile(RULES, re.I)
 _REPEAT = re.compile(REPEAT, re.I)
 _VISIBLE = re.compile(r"[^\W_]|[!-/:-@\[-`{-~¡-¬®-¿‐-‧‰-⁞、-〿]")
-_QUOTED = re.compile(r"«[^»]*(?:»|\Z)|“[^”]*(?:”|\Z)|„[^“”]*(?:[“”]|\Z)|\"[^\"]*(?:\"|\Z)|「[^」]*(?:」|\Z)")
-_SENTENCE = re.compile(r"[^.!?\n\]]+")
-_LEAD_IN = re.compile(r"\A[^\n]{1,80}:\s*\n+|\A[^\n:.]{1,60}:\s+")
+_LEAD_IN = re.compile(r"\A[^\n]*:\s*\n+|\A[^\n:.!?]*:\s+")
+_ITEM = re.compile(r"^([^\S\n]*)(?:[-*•+]|\d{1,3}[.)]|[A-Za-z][.)])[^\S\n]+", re.M)
 _MARKUP = re.compile(r"```|~~~|\*\*|__|</?[A-Za-z][\w-]*[^<>]*>|[()\[\]{}]|[«»“”„\"「」]")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "「": "」"}
 #: Shortest tile in words, and the coverage of both sides from which an answer gives its prompt back.
@@ -106,127 +79,131 @@ def open_constructs(text: str) -> list[str]:
     return stack
 
 
+def open_item(text: str) -> bool:
+    """The last item of a list stops short: it is empty, or lacks the closing mark that all other items have."""
+    items = list(_ITEM.finditer(text))
+    if not items or "\n\n" in text[items[-1].end() :].strip():
+        return False
+    last = text[items[-1].end() :].strip()
+    depth = len(items[-1].group(1))
+    before = [text[m.end() : n.start()].strip() for m, n in zip(items, items[1:]) if len(m.group(1)) == depth]
+    return not last or (len(before) > 1 and all(map(is_closed, before)) and not is_closed(last))
+
+
 def ends_open(text: str, odds: float, limit: float) -> bool:
-    """The answer stops mid-word or mid-sentence: inside a fence, tag or bracket, or in a context that goes on."""
+    """The answer stops mid-word or mid-sentence: inside a fence, tag, bracket or list item, inside a quotation that its
+    last sentence has opened, or in a context that goes on."""
     left = open_constructs(text)
-    if any(x[0] in "`~<[{" for x in left):
+    if any(x[0] in "`~<[{(" for x in left) or open_item(text):
         return True
     end = tail(text).rstrip("*_`~ \n")
-    return not is_closed(end) and odds < limit
-
-
-def fit_words(texts: DataFrame) -> dict[str, dict[str, float]]:
-    """Log shares of frequent words by language of (lang, t): words that make up 1/20,000 of a language, so at most
-    20,000 of each.  Partial counts are shuffled, the bounded table comes to the driver."""
-
-    def counts(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang and t:
-                    seen.update((lang[:2].lower(), w) for w in words_of(t))
-            if len(seen) > 500_000:
-                yield _rows(seen)
-                seen.clear()
-        if seen:
-            yield _rows(seen)
-
-    def _rows(seen):
-        langs, words = zip(*seen)
-        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(seen.values()))], names=["lang", "word", "n"])
-
-    n = texts.select("lang", "t").mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    n = cut_lineage(n)
-    total = {r["lang"]: r["n"] for r in n.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    sums = n.groupBy("lang").agg(F.sum("n").alias("all"))
-    out: dict[str, dict[str, float]] = {lang: {} for lang in total}
-    for r in n.join(F.broadcast(sums), "lang").where("n * 20000 >= all").toLocalIterator():
-        out[r["lang"]][r["word"]] = math.log(r["n"] / total[r["lang"]])
-    return out
-
-
-def language_of(text: str, learned: dict[str, dict[str, float]] | None = None) -> str | None:
-    """Two-letter code by script, else by function words, else by the words that ``learned`` tells apart; None if
-    nothing tells."""
-    counts = {k: len(p.findall(text)) for k, p in _SCRIPT.items()} if not text.isascii() else {}
-    letters = sum(map(str.isalpha, text))
-    if counts and 2 * sum(counts.values()) > letters:
-        if counts["ja"] and counts["ja"] * 8 > counts["zh"]:
-            return "ja"
-        return max(counts, key=counts.get)
-    words = words_of(text)
-    hits = {k: sum(w in v for w in words) for k, v in _FUNCTION.items()}
-    for k in _SPARSE:
-        hits[k] -= 1  # short lists of languages that share many short words with others
-    best, second = sorted(hits, key=hits.get, reverse=True)[:2]
-    if hits[best] > hits[second]:
-        return best
-    if learned:
-        floor = math.log(1e-6)
-        score = {k: sum(v.get(w, floor) for w in words) for k, v in learned.items() if any(w in v for w in words)}
-        best = max(score, key=score.get, default=None)
-        if best and all(score[best] > v + 2.0 for k, v in score.items() if k != best):
-            return best
-    return None
+    # quotations may run over paragraphs, so an open one tells only with an end that isn't closed
+    if any(x in "«“„「" for x in left) and not is_closed(end):
+        return True
+    return odds < limit and not is_closed(end)
 
 
-def wanted_language(prompt: str, learned: dict[str, dict[str, float]] | None = None) -> str | None:
+def wanted_language(prompt: str, languages: Languages) -> str | None:
     """The language a prompt asks for: the last one its request names, else its own."""
-    head = prompt.strip().split("\n", 1)[0]
-    if len(head) > 160:
-        head = re.split(r"[:.?!]", head, maxsplit=1)[0]
-    named = _NAME.findall(head)
-    if named and not re.search(r"[?]\s*$", head):
+    head = prompt.strip().partition("\n")[0]
+    request = head.partition(":")[0] if ":" in head else head[: (sentence_spans(head) or [(0, 0)])[0][1]]
+    named = _NAME.findall(request)
+    if named and not re.search(r"[?]\s*$", request):
         return _NAMES[named[-1].lower()]
-    return language_of(prompt, learned)
-
-
-def is_refusal(text: str) -> bool:
-    plain = _QUOTED.sub(" ", text)
-    if _RULE.search(plain):
-        return True
-    return any(_DECLINE.search(s) and _TASK.search(s) for s in _SENTENCE.findall(plain))
+    return languages.of(prompt)
+
+
+class _Automaton:
+    """Suffix automaton of a sequence: the longest factor that ends at each place of another one, in linear time."""
+
+    def __init__(self, seq):
+        self.next, self.link, self.length, self.at = [{}], [-1], [0], [-1]
+        last = 0
+        for i, c in enumerate(seq):
+            cur = len(self.next)
+            self.next.append({})
+            self.length.append(self.length[last] + 1)
+            self.link.append(0)
+            self.at.append(i)
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = cur
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.length[p] + 1 == self.length[q]:
+                    self.link[cur] = q
+                else:
+                    twin = len(self.next)
+                    self.next.append(dict(self.next[q]))
+                    self.length.append(self.length[p] + 1)
+                    self.link.append(self.link[q])
+                    self.at.append(self.at[q])
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = twin
+                        p = self.link[p]
+                    self.link[q] = self.link[cur] = twin
+            last = cur
+
+    def matches(self, seq, least: int):
+        """(length, end in ``seq``, end in the automaton's sequence) of the factors that can't be extended to the right."""
+        out, state, n = [], 0, 0
+        for i, c in enumerate(seq):
+            before = (n, i, self.at[state] + 1)
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if c in self.next[state]:
+                state, n = self.next[state][c], n + 1
+            else:
+                n = 0
+            if before[0] >= least and n <= before[0]:
+                out.append(before)
+        if n >= least:
+            out.append((n, len(seq), self.at[state] + 1))
+        return out
 
 
 def tiled(a, b, least: float = 0.0, tile: int = TILE) -> int:
-    """Items of ``a`` covered by greedy string tiling: longest common runs of at least ``tile`` items first, none twice.
+    """Items of ``a`` covered by greedy string tiling: the longest common runs of at least ``tile`` items first, none
+    twice, again and again until no run is left.
 
-    0 as soon as it is certain that less than the part ``least`` of ``a`` can be covered.  Takes lists and strings.
+    0 as soon as it is certain that less than the part ``least`` of ``a`` can be covered.  Takes lists and strings.  A
+    round is linear in the lengths (a suffix automaton of what is left of ``b``), also for texts that repeat themselves.
     """
     if len(a) < tile or len(b) < tile:
         return len(a) if a == b else 0
     key = (lambda x: x) if isinstance(a, str) else tuple
-    places: dict = {}
-    for j in range(len(b) - tile + 1):
-        places.setdefault(key(b[j : j + tile]), []).append(j)
-    if tile * sum(key(a[i : i + tile]) in places for i in range(len(a) - tile + 1)) < least * len(a):
+    grams = {key(b[j : j + tile]) for j in range(len(b) - tile + 1)}
+    if tile * sum(key(a[i : i + tile]) in grams for i in range(len(a) - tile + 1)) < least * len(a):
         return 0
-    matches = []
-    i = 0
-    while i <= len(a) - tile:
-        best, at = 0, -1
-        for j in places.get(key(a[i : i + tile]), ()):
-            n = tile
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            if n > best:
-                best, at = n, j
-        if best:
-            matches.append((best, i, at))
-            i += best - tile + 1
-        else:
-            i += 1
-    marked_a, marked_b = bytearray(len(a)), bytearray(len(b))
+    # marked items become signs that equal nothing
+    x, y = list(a), list(b)
+    used_x, used_y = np.zeros(len(x) + 1, dtype=bool), np.zeros(len(y) + 1, dtype=bool)
     covered = 0
-    for n, i, j in sorted(matches, key=lambda m: -m[0]):
-        free = [not (marked_a[i + k] or marked_b[j + k]) for k in range(n)]
-        run = sum(free)
-        if run >= tile or run == n:
-            for k in range(n):
-                if free[k]:
-                    marked_a[i + k] = marked_b[j + k] = 1
-            covered += run
-    return covered
+    while True:
+        heap = [(-n, i - n, j - n) for n, i, j in _Automaton(y).matches(x, tile)]
+        if not heap:
+            return covered
+        if covered + len(x) - np.count_nonzero(used_x) < least * len(a):
+            return 0
+        heapify(heap)
+        while heap:
+            n, i, j = heappop(heap)
+            n = -n
+            taken = np.flatnonzero(used_x[i : i + n] | used_y[j : j + n])
+            if len(taken):
+                # what other tiles have left of the run: its longest part comes up again
+                edges = np.concatenate([[-1], taken, [n]])
+                gaps = np.diff(edges) - 1
+                k = int(np.argmax(gaps))
+                if gaps[k] >= tile:
+                    heappush(heap, (-int(gaps[k]), i + int(edges[k]) + 1, j + int(edges[k]) + 1))
+                continue
+            used_x[i : i + n] = used_y[j : j + n] = True
+            x[i : i + n] = [("a", k) for k in range(i, i + n)]
+            y[j : j + n] = [("b", k) for k in range(j, j + n)]
+            covered += n
 
 
 def is_copy(answer: str, prompt: str) -> bool:
@@ -252,7 +229,7 @@ def is_copy(answer: str, prompt: str) -> bool:
 
 def defect_of(
     src: str, answer: str | None, prompt: str | None, lang: str | None, short: bool, garbled: bool, odds: float, limit: float,
-    learned: dict[str, dict[str, float]] | None = None,
+    languages: Languages,
 ) -> str | None:
     """Type of the defect of an answer, None for a sound one."""
     if not answer or _VISIBLE.search(answer) is None:
@@ -263,44 +240,42 @@ def defect_of(
         return "copy"
     if not garbled and (short or ends_open(answer, odds, limit)):
         return "truncated"
-    want = lang if src == "chapters" else (wanted_language(prompt, learned) if prompt else None)
+    want = lang if src == "chapters" else (wanted_language(prompt, languages) if prompt else None)
     if want:
         lead = _LEAD_IN.match(answer)
         body = answer[lead.end() :] if lead and len(answer) - lead.end() > 10 else answer
-        got = language_of(body, learned)
+        got = languages.of(body)
         if got and got != want:
             return "language"
     return None
 
 
-def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel, learned: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel, languages: Languages) -> DataFrame:
     """(src, rec_id, defect) for the defective rows of (src, rec_id, answer, prompt, lang, words).
 
     Null and blank answers are 'empty'; without a prompt an answer is judged by itself; a repeated answer (another
-    rec_id) is judged again.  One narrow stage; the models have fixed or bounded size.
+    rec_id) is judged again.  Narrow stages; the models have fixed or checked size.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((model, chains, learned))
+    shared = pairs.sparkSession.sparkContext.broadcast((chains, languages))
+    limit = model.typical - MARGIN
 
     def rows(batches):
-        ends, chain, known = shared.value
-        limit = ends.typical() - MARGIN
+        chain, known = shared.value
         for batch in batches:
-            src, rec, answer, prompt, lang, words = (c.to_pylist() for c in batch.columns)
-            if not rec:
-                continue
-            contexts, own = zip(*(final_contexts(x or "") for x in answer))
-            odds = ends.log_odds(context_hashes(list(contexts)), np.array(own, dtype=np.int64).reshape(len(rec), -1))
             found = []
-            for s, r, a, p, lg, w, o in zip(src, rec, answer, prompt, lang, words, odds):
+            for s, r, a, p, lg, w, o in zip(*(c.to_pylist() for c in batch.columns)):
                 short = bool(w and a and len(a.split()) < 0.9 * w)
-                garbled = s == "chapters" and is_garbled(a, chain)
-                d = defect_of(s, a, p, (lg or "")[:2].lower() or None, short, garbled, o, limit, known)
+                hit = repair(a, chain) if s == "chapters" else None
+                garbled = hit is not None
+                a = hit[0] if garbled and hit[0] else a
+                d = defect_of(s, a, p, label(lg), short, garbled, o, limit, known)
                 if d:
                     found.append((s, r, d))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["src", "rec_id", "defect"])
 
-    return pairs.select("src", "rec_id", "answer", "prompt", "lang", "words").mapInArrow(rows, "src string, rec_id long, defect string")
+    scored = with_odds(pairs.select("src", "rec_id", "answer", "prompt", "lang", "words"), "answer", model)
+    return scored.mapInArrow(rows, "src string, rec_id long, defect string")
 
 
 def answer_pairs(conversations: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -330,5 +305,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations, chapters = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "chapters")
     # closing lines are rare in answers: ends are learned from the whole corpus
     texts = corpus(spark, sf_dir).unionByName(conversations.where("role = 'assistant'").select(F.col("text").alias("t")))
-    learned = fit_words(chapters.select("lang", F.col("text").alias("t")))
-    return flag_defects(answer_pairs(conversations, chapters), fit_ends(texts), chapter_model(spark, sf_dir), learned)
+    labelled = chapters.select("lang", F.col("text").alias("t")).unionByName(table(spark, sf_dir, "documents").select("lang", F.col("text").alias("t")))
+    return flag_defects(answer_pairs(conversations, chapters), fit_ends(texts), chapter_model(spark, sf_dir), fit_languages(labelled))

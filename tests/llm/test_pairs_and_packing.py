@@ -1,6 +1,7 @@
 """Alignment, defects, packing and mixing on small fixtures."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from fabulon.llm import defects as D
 from fabulon.llm import encoding as E
 from fabulon.llm import mixing as M
 from fabulon.llm import packing as P
+from fabulon.llm.languages import fit_languages
 from fabulon.llm.truncation import fit_ends
 
 WORDS = [("box", "boîte"), ("key", "clé"), ("hat", "chapeau"), ("coin", "pièce"), ("boat", "bateau"), ("lamp", "lampe"), ("rope", "corde"), ("bell", "cloche")]
@@ -73,8 +75,62 @@ def test_edges(spark):
     assert [tuple(r) for r in A.whole_edges(div, chapters).collect()] == [(5, "a", "S")]
 
 
+LABELLED = {
+    "en": "The cat was there, for it had been found by the children. Who lost the key, and why? He left the house with them and came back to it later that day.",
+    "fr": "Le chat était là, car il avait été trouvé par les enfants. Qui perdit la clé, et pourquoi ? Il laissa la maison avec eux et y revint plus tard ce jour-là. C'est lui qui trouva la voiture.",
+    "ES-mx": "El perro de la casa está en el patio con los niños. ¿Quién perdió la llave y por qué? Salió de la casa con ellos y volvió más tarde aquel día.",
+    "ru": "Кошка была там, потому что дети нашли её в доме. Кто потерял ключ и почему? Он вышел из дома вместе с ними.",
+    "zz top": None,
+}
+
+
 @pytest.fixture(scope="module")
-def judged(spark):
+def languages(spark):
+    rows = [(lang, t) for lang, t in LABELLED.items()] * 3 + [(None, "x"), ("", "y")]
+    return fit_languages(spark.createDataFrame(rows, "lang string, t string"))
+
+
+def test_languages(spark, languages):
+    assert languages.names == ["en", "es", "fr", "ru"]
+    assert languages.of("They found the house and the children there.") == "en"
+    assert languages.of("Ils trouvèrent la maison et les enfants.") == "fr"
+    assert languages.of("") is None and languages.of("12 !") is None
+    assert fit_languages(spark.createDataFrame([], "lang string, t string")).of("The cat") is None
+
+
+# phrasings written for this test, in none of the tables
+REFUSALS = [
+    "I cannot help you with that.", "I'm unable to do that.", "Unfortunately I can't assist with this request.", "I must respectfully decline to continue.",
+    "I won’t be translating this passage.", "My guidelines don't permit this.", "No puedo ayudarte con eso.", "Lo siento, pero no puedo traducir este texto.",
+    "Ich kann Ihnen dabei leider nicht helfen.", "Es tut mir leid, aber ich kann diesen Text nicht übersetzen.", "Извините, я не могу перевести этот текст.",
+    "Я не могу вам с этим помочь.", "抱歉，我无法帮助您完成这个请求。", "申し訳ありませんが、このリクエストにはお応えできません。", "क्षमा करें, मैं इस पाठ का अनुवाद नहीं कर सकता।",
+    "ขออภัย ฉันไม่สามารถแปลข้อความนี้ได้", "Je ne peux malheureusement pas vous aider.", "Orlo left.\n\n[Malheureusement, je ne peux pas traduire ce texte.]",
+]
+STORIES = [
+    "“I cannot help you with that,” said Orlo.", "« Je ne peux pas vous aider en cela », dit Cécilde.", "He could not help her.", "— Je ne peux pas vous aider, dit-il.",
+    "„Ich kann Ihnen nicht helfen“, sagte Odran.", "Er konnte nicht helfen.", "Он не мог помочь.", "Orlo left the boat and I cannot help you with that and the wind fell.", "他无法帮助她。", "",
+]
+
+
+@pytest.mark.parametrize("text", REFUSALS)
+def test_refusals(text):
+    assert D.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", STORIES)
+def test_no_refusals(text):
+    assert not D.is_refusal(text)
+
+
+def test_open_ends():
+    for text in ("He said (and then the", "“I will go to the", "- one is here.\n- two is here.\n- thr", "1. Salt.\n2. ", "```\nx = 1", "<b>bold", "see [the"):
+        assert D.ends_open(text, 9.0, 0.0), text
+    for text in ("He said (and then) left.", "“I will go.” He left.", "- one\n- two\n- three", "- one.\n- two.\n- three.", "1. Salt.\n2. Rope.\n\nThat is all", "“Go,” he said. “Now.", "```\nx\n```"):
+        assert not D.ends_open(text, 9.0, 0.0), text
+
+
+@pytest.fixture(scope="module")
+def judged(spark, languages):
     good = "Orlo found the hat in the mill. “Who is there?” asked Fenna."
     talk = [
         ("Translate the passage into French:\n\nOrlo found the hat in the mill. He left the box there.", "Orlo trouva le chapeau dans le moulin. Il laissa la boîte là.", None),
@@ -101,7 +157,7 @@ def judged(spark):
     df = spark.createDataFrame(rows, "src string, rec_id long, answer string, prompt string, lang string, words int")
     corpus = [(" ".join(f"{n} {v} the {w} {p}." for n, (w, _), (v, _), (p, _) in zip(NAMES, WORDS, VERBS, PLACES)) + "\n\nHe left.",)] * 3
     model = fit_ends(spark.createDataFrame(corpus + [(r[2],) for r in rows], "t string"))
-    got = {(r["src"], r["rec_id"]): r["defect"] for r in D.flag_defects(df, model, E.train(["été, là, “so”"])).collect()}
+    got = {(r["src"], r["rec_id"]): r["defect"] for r in D.flag_defects(df, model, E.train(["été, là, “so”"]), languages).collect()}
     want = {("conversations", i): d for i, (_, _, d) in enumerate(talk) if d} | {("chapters", i): d for i, (*_, d) in enumerate(chapters) if d}
     return got, want
 
@@ -152,6 +208,14 @@ def test_tiling_against_brute_force():
     assert D.tiled([], ["a"]) == 0 and D.tiled(["a"], ["a"]) == 1
 
 
+def test_tiling_of_repeated_text():
+    """Texts that repeat themselves cost no more than others of their length."""
+    began = time.process_time()
+    assert D.tiled("ab" * 10_000, "ba" * 10_000, 0.5, 6) == 19_999
+    assert D.tiled(["x"] * 20_000, ["x"] * 10_000) == 10_000
+    assert time.process_time() - began < 5
+
+
 def test_packing_shard():
     rng = np.random.default_rng(1)
     sizes = np.concatenate([rng.integers(0, 700, 3000), rng.integers(500, 9000, 60), [0, 512, 2048, 2049]])

@@ -261,6 +261,19 @@ def test_truncation(spark):
     assert sum(got[2000 + i] for i in range(30)) >= 29
     assert got[3000] and not got[3001] and not got[3002] and not got[3003]
     assert T.detect_truncation(df.limit(0)).count() == 0
+    # a table too large to be broadcast is joined, with the same odds
+    joined = T.detect_truncation(df, T.fit_ends(df, local_rows=0)).collect()
+    local = {r["rec_id"]: r["log_odds"] for r in T.detect_truncation(df, T.fit_ends(df)).collect()}
+    assert all(r["log_odds"] == pytest.approx(local[r["rec_id"]]) for r in joined if r["log_odds"] is not None)
+    # ten copies of the corpus teach the same: texts with the same end count once
+    tenfold = T.fit_ends(df.crossJoin(spark.range(10).select()))
+    assert {r["rec_id"] for r in T.detect_truncation(df, tenfold).where("truncated").collect()} == {i for i in got if got[i]}
+
+
+def test_tails():
+    assert T.tail("a b... […] \n…\ufffd ") == "a b" and T.tail("...") == "" and T.tail("") == "" and T.tail("x [...]") == "x"
+    assert T.tail("end" + " \n" * 500) == "end"
+    assert T._final("ab" + " " * 300 + "\n\n" + " " * 300 + "c", 604)[-3:] == " \x01c" or T._final("ab" + " " * 300 + "\n\n" + " " * 300 + "c", 604).endswith("\x01c")
 
 
 def test_truncation_of_most_values_of_a_language(spark):
