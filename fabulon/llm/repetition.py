@@ -1,12 +1,19 @@
 """Repetition inside a single document (problem 5).
 
-A trigram model with modified Kneser-Ney smoothing is counted by Spark over all texts and stored in sorted hash arrays
-of bounded size.  Each text gets two perplexities: the plain one, and its own, in which a trigram that has occurred
-earlier in the text is predicted by the text itself (a cache component).  Bands per language bound both: plain
-perplexity above the upper band is noise; an own perplexity that falls too far under the plain one (as a ratio of
-logarithms, against the language's median ratio) is repetition.  No band is a sure sign of repeated words: a phrase that
-is common in the corpus costs little in either perplexity.  So the exact share of words in runs of eight that also start
-earlier in the same text is measured for every text, and alone decides which ones are heavily repetitive.
+A trigram model with modified Kneser-Ney smoothing is counted by Spark over all texts; no n-gram is left out.  Each text
+gets two perplexities: the plain one, and its own, in which a trigram that has occurred earlier in the text is foreseen
+by the text itself (a cache component).  Bands per language bound both: plain perplexity above the upper band is noise;
+an own perplexity under the lower band is repetition.
+
+The lower band also has a part that follows from the definition of heavy repetition, so that no heavy text can miss it,
+however common its phrases are in the corpus.  Let R words lie in runs of eight that start earlier in the text too.  In
+such a run the last six words end trigrams seen before; a word of a run that doesn't is the first or second of every
+run it lies in, and the six words after those two end such trigrams.  So at least 3/4 R words are foreseen, with
+R = 0.3 n at least 0.225 n, and what they save is at least the sum of the 0.225 n smallest savings that the text's words
+could bring.  Texts under the band are then measured exactly.
+
+The priced n-grams are kept in sorted hash arrays, which tasks get whole while there are at most ``LOCAL_GRAMS`` of
+them; beyond that they stay distributed and are joined, with the same result.
 """
 
 from __future__ import annotations
@@ -28,8 +35,10 @@ from .truncation import candidates, normal_lang
 RUN = 8
 #: Share of repeated words from which a text is heavily repetitive.
 HEAVY = 0.3
-#: The model keeps n-grams that make up at least this share of all (so at most 1,000,000 of each order), and occur twice.
-LEAST_SHARE = 1e-6
+#: Trigrams that are broadcast (12 bytes each); more are joined.
+LOCAL_GRAMS = 4_000_000
+#: Part of the repeated words that end a trigram seen before, at least.
+FORESEEN = 0.75
 #: Weight of the text's own history.
 CACHE = 0.9
 #: A text is under the lower band if ln(own perplexity) / ln(perplexity) is at most this part of the language's median
@@ -80,30 +89,37 @@ class _Ids(dict):
         return value
 
 
-def _encode(texts: list[str | None], ids: _Ids):
-    """Chunks (row numbers, word ids, offsets): the ids of a text stand together after a leading 0."""
-    rows, parts, size = [], [], 0
-    for i, t in enumerate(texts):
-        own = [ids[w] for w in words_of(t)] if t else []
-        rows.append(i)
-        parts.append(own)
-        size += len(own) + 1
-        if size >= _CHUNK:
-            yield _pack(rows, parts, size)
-            rows, parts, size = [], [], 0
-    if rows:
-        yield _pack(rows, parts, size)
-
-
-def _pack(rows, parts, size):
-    flat = np.zeros(size, dtype=np.uint64)
-    offsets = np.zeros(len(parts) + 1, dtype=np.int64)
-    at = 0
-    for k, own in enumerate(parts):
-        flat[at + 1 : at + 1 + len(own)] = own
-        at += len(own) + 1
-        offsets[k + 1] = at
-    return rows, flat, offsets
+def encode(texts: DataFrame) -> DataFrame:
+    """(src, rec_id, lang, ids) of (src, rec_id, lang, t): the ids of each text's words, counted and priced from here on."""
+    columns = ["src", "rec_id", "lang"]
+
+    def rows(batches):
+        ids = _Ids()
+        for batch in batches:
+            words = [[ids[w] for w in words_of(t)] if t else [] for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.list_(pa.int32()))], names=[*columns, "ids"])
+
+    lang = F.coalesce("lang", F.lit("und")).alias("lang")
+    kind = texts.schema["rec_id"].dataType.simpleString()
+    return texts.select("src", "rec_id", lang, "t").mapInArrow(rows, f"src string, rec_id {kind}, lang string, ids array<int>")
+
+
+def _chunks(column: pa.Array):
+    """(first row, flat, offsets) of some rows at a time: the ids of a text stand together after a leading 0."""
+    sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    words = column.flatten().to_numpy(zero_copy_only=False)
+    done = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + _CHUNK, side="right")) - 1)
+        hi = min(hi, len(sizes))
+        offsets = (done[lo : hi + 1] - done[lo]) + np.arange(hi - lo + 1)
+        flat = np.zeros(offsets[-1], dtype=np.uint64)
+        inside = np.ones(len(flat), dtype=bool)
+        inside[offsets[:-1]] = False
+        flat[inside] = words[done[lo] : done[hi]]
+        yield lo, flat, offsets
+        lo = hi
 
 
 def _key(*words: np.ndarray) -> np.ndarray:
@@ -125,18 +141,12 @@ def _trigrams(flat: np.ndarray):
 
 
 def _count(batches):
-    ids = _Ids()
     for batch in batches:
-        for _, flat, _ in _encode(batch.column(0).to_pylist(), ids):
+        for _, flat, _ in _chunks(batch.column(0)):
             w1, w2, w3, _ = _trigrams(flat)
-            order = np.lexsort((w3, w2, w1)) if len(w1) else np.zeros(0, np.int64)
-            a, b, c = w1[order], w2[order], w3[order]
-            new = np.ones(len(a), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(a)))
+            _, first, n = np.unique(_key(w1, w2, w3), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[at].astype(np.int32)) for x in (a, b, c)] + [pa.array(n.astype(np.int64))], names=["w1", "w2", "w3", "n"]
+                [pa.array(x[first].astype(np.int32)) for x in (w1, w2, w3)] + [pa.array(n.astype(np.int64))], names=["w1", "w2", "w3", "n"]
             )
 
 
@@ -150,72 +160,50 @@ def _discounts(coc: dict[int, int]) -> tuple[float, float, float]:
 
 
 class NgramModel:
-    """Sorted hash arrays: probabilities of tri-, bi- and unigrams after discounting, back-off weights of histories."""
-
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]], floor: float):
-        self.tables, self.floor = tables, floor
+    """Log probabilities of all trigrams of the corpus, as a table (w1, w2, w3, log_p); ``local`` holds it in sorted hash
+    arrays while it is small, else None."""
 
-    def _get(self, name: str, keys: np.ndarray, missing: float) -> np.ndarray:
-        known, values = self.tables[name]
-        if not len(known):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, values[at], missing)
+    def __init__(self, rows: DataFrame, local_grams: int = LOCAL_GRAMS):
+        self.rows, self.local = rows, None
+        if rows.count() <= local_grams:
+            got = rows.toPandas()
+            keys = _key(*[got[w].to_numpy(dtype=np.int64).astype(np.uint64) for w in ("w1", "w2", "w3")])
+            order = np.argsort(keys)
+            self.local = keys[order], got["log_p"].to_numpy(dtype=np.float32)[order]
 
     def log_prob(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
-        key = _key(w1, w2, w3)
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        w1, w2, w3 = w1[first], w2[first], w3[first]
-        p = self._get("1", _key(w3), self.floor)
-        p = self._get("2", _key(w2, w3), 0.0) + self._get("h2", _key(w2), 1.0) * p
-        p = self._get("3", key[first], 0.0) + self._get("h3", _key(w1, w2), 1.0) * p
-        return np.log(np.clip(p, 1e-12, 1.0))[back]
+        return look_up(self.local, _key(w1, w2, w3))
 
 
-def fit_ngrams(texts: DataFrame) -> NgramModel:
-    """Count all texts (column t).  Shuffled are partial counts by trigram; the driver gets the bounded model only."""
+def look_up(local, keys: np.ndarray) -> np.ndarray:
+    known, values = local
+    some, back = np.unique(keys, return_inverse=True)
+    return values[np.minimum(np.searchsorted(known, some), len(known) - 1)][back].astype(np.float64)
+
+
+def fit_ngrams(encoded: DataFrame, local_grams: int = LOCAL_GRAMS) -> NgramModel:
+    """Count the trigrams of all texts (column ids) and price them.  Shuffled are partial counts and tables of n-grams."""
     tri = cut_lineage(
-        texts.select("t").mapInArrow(_count, "w1 int, w2 int, w3 int, n long").groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
+        encoded.select("ids").mapInArrow(_count, "w1 int, w2 int, w3 int, n long").groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
     )
     # continuation counts: in how many contexts an n-gram occurs
-    bi = tri.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("n"))
-    uni = bi.groupBy("w3").agg(F.count(F.lit(1)).alias("n"))
+    bi = cut_lineage(tri.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("n")))
+    uni = bi.groupBy("w3").agg(F.count(F.lit(1)).alias("n1"))
+    n_types = max(bi.count(), 1)
 
-    def classes(df, by):
-        one = lambda k: F.sum((F.col("n") == k).cast("long"))
-        return df.groupBy(*by).agg(
-            F.sum("n").alias("total"), one(1).alias("n1"), one(2).alias("n2"), F.sum((F.col("n") > 2).cast("long")).alias("n3")
-        )
-
-    tables, sums = {}, {}
-    for name, df, cols, hist in (("3", tri, ["w1", "w2", "w3"], ["w1", "w2"]), ("2", bi, ["w2", "w3"], ["w2"])):
+    def discounted(df: DataFrame, hist: list[str]) -> tuple[DataFrame, str, str]:
+        """(history, total, weight of the shorter context), and the expression for a discounted count."""
         coc = {r["k"]: r["c"] for r in df.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
-        total = df.agg(F.sum("n")).first()[0] or 1
-        least = max(2, total * LEAST_SHARE)
-        d = np.array([0.0, *_discounts(coc)])
-        grams = df.where(F.col("n") >= least).toPandas()
-        hists = classes(df, hist).where(F.col("total") >= least).toPandas()
-        hkeys = _key(*[hists[c].to_numpy(dtype=np.int64).astype(np.uint64) for c in hist]) if len(hists) else np.zeros(0, np.uint64)
-        order = np.argsort(hkeys)
-        hkeys, hists = hkeys[order], hists.iloc[order]
-        totals = hists["total"].to_numpy(dtype=np.float64)
-        weight = (d[1] * hists["n1"] + d[2] * hists["n2"] + d[3] * hists["n3"]).to_numpy(dtype=np.float64) / np.maximum(totals, 1)
-        g = [grams[c].to_numpy(dtype=np.int64).astype(np.uint64) for c in cols]
-        n = grams["n"].to_numpy(dtype=np.float64)
-        gkeys = _key(*g) if len(grams) else np.zeros(0, np.uint64)
-        own = totals[np.searchsorted(hkeys, _key(*g[:-1]))] if len(grams) else n
-        prob = (n - d[np.minimum(n, 3).astype(int)]) / np.maximum(own, 1)
-        order = np.argsort(gkeys)
-        tables[name] = gkeys[order], prob[order].astype(np.float32)
-        tables["h" + name] = hkeys, weight.astype(np.float32)
-        sums[name] = total
-    n_words = uni.count()
-    n_types = uni.agg(F.sum("n")).first()[0] or 1
-    known = uni.where(F.col("n") >= n_types * LEAST_SHARE).toPandas()
-    keys = _key(known["w3"].to_numpy(dtype=np.int64).astype(np.uint64)) if len(known) else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    tables["1"] = keys[order], (known["n"].to_numpy(dtype=np.float64)[order] / n_types).astype(np.float32)
-    return NgramModel(tables, 1.0 / max(n_types, n_words, 2))
+        d = _discounts(coc)
+        held = " + ".join(f"{x!r} * count_if(n {test})" for x, test in zip(d, ("= 1", "= 2", "> 2")))
+        return df.groupBy(*hist).agg(F.sum("n").alias("total"), F.expr(f"({held}) / sum(n)").alias("rest")), f"n - element_at(array({d[0]!r}d, {d[1]!r}d, {d[2]!r}d), cast(least(n, 3) as int))"
+
+    h2, less = discounted(bi, ["w2"])
+    p2 = bi.join(h2, "w2").join(uni, "w3").select("w2", "w3", F.expr(f"({less}) / total + rest * n1 / {n_types}d").alias("p2"))
+    h3, less = discounted(tri, ["w1", "w2"])
+    p3 = F.expr(f"({less}) / total + rest * p2")
+    priced = tri.join(h3, ["w1", "w2"]).join(p2, ["w2", "w3"]).select("w1", "w2", "w3", F.log(F.least(F.greatest(p3, F.lit(1e-12)), F.lit(1.0))).alias("log_p"))
+    return NgramModel(cut_lineage(priced), local_grams)
 
 
 def _seen_before(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -247,20 +235,40 @@ def _repeats(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return again3, np.cumsum(steps[:-1]) > 0
 
 
-def measure(texts: list[str | None], model: NgramModel | None, ids: _Ids | None = None):
-    """Per text (words, repeated words, sum of log probabilities, the same with the text's own history)."""
-    ids = _Ids() if ids is None else ids
-    out = np.zeros((len(texts), 4))
-    for rows, flat, offsets in _encode(texts, ids):
+def _saving(log_p: np.ndarray) -> np.ndarray:
+    """What a word of this price saves where the text foresees it."""
+    return np.log(CACHE + (1 - CACHE) * np.exp(log_p)) - log_p
+
+
+def _least_savings(saving: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Per text the sum of its smallest savings, as many as a heavy text has foreseen words at least."""
+    doc = np.repeat(np.arange(len(words)), np.diff(offsets))
+    order = np.lexsort((saving, doc))
+    quota = np.ceil(FORESEEN * HEAVY * words - 1e-9).astype(np.int64)
+    # texts begin with a 0, whose saving of -1 sorts first and isn't summed
+    rank = np.arange(len(saving)) - np.repeat(offsets[:-1], np.diff(offsets))
+    use = (rank >= 1) & (rank <= np.repeat(quota, np.diff(offsets)))
+    return np.bincount(doc, weights=np.where(use, saving[order], 0.0), minlength=len(words))
+
+
+def measure(column: pa.Array, local=None) -> np.ndarray:
+    """Per text of word ids (words, repeated words, sum of log probabilities, what its own history saves, least saving of
+    a heavy text); the last three are 0 without ``local`` prices."""
+    out = np.zeros((len(column), 5))
+    for lo, flat, offsets in _chunks(column):
         again, inside = _repeats(flat, offsets)
-        logp = np.zeros(len(flat))
-        if model is not None and len(flat) > 1:
+        hi = lo + len(offsets) - 1
+        sums = lambda x: np.add.reduceat(x, offsets[:-1])
+        out[lo:hi, 0], out[lo:hi, 1] = sums((flat > 0).astype(float)), sums(inside.astype(float))
+        if local is not None and len(flat) > 1 and len(local[0]):
             w1, w2, w3, word = _trigrams(flat)
-            logp[1:][word] = model.log_prob(w1, w2, w3)
-        dynamic = logp.copy()
-        dynamic[again] = np.log(CACHE + (1 - CACHE) * np.exp(logp[again]))
-        own = np.stack([(flat > 0).astype(float), inside.astype(float), logp, dynamic])
-        out[rows] = np.add.reduceat(own, offsets[:-1], axis=1).T if len(flat) else 0
+            log_p = np.zeros(len(flat))
+            log_p[1:][word] = look_up(local, _key(w1, w2, w3))
+            saving = np.where(flat > 0, _saving(log_p), -1.0)
+            saved = np.zeros(len(flat))
+            saved[again] = saving[again]
+            out[lo:hi, 2], out[lo:hi, 3] = sums(log_p), sums(saved)
+            out[lo:hi, 4] = _least_savings(saving, offsets, out[lo:hi, 0])
     return out
 
 
@@ -269,65 +277,108 @@ def is_heavy() -> F.Column:
     return (F.col("n_words") > 0) & (F.col("repeated") >= HEAVY * F.col("n_words"))
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(src, rec_id, n_words, repeated) per row of (src, rec_id, t): exact counts of every text.  One scan, no shuffle."""
+_FIGURES = ("n_words", "repeated", "log_p", "saved", "least_saving")
+
+
+def _figures(encoded: DataFrame, local) -> DataFrame:
+    """(src, rec_id, lang) and the figures of ``measure``; one narrow stage."""
+    shared = encoded.sparkSession.sparkContext.broadcast(local)
 
     def rows(batches):
-        ids = _Ids()
         for batch in batches:
-            m = measure(batch.column(2).to_pylist(), None, ids).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(m[:, 0]), pa.array(m[:, 1])], names=["src", "rec_id", "n_words", "repeated"]
-            )
+            m = measure(batch.column(3), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(m[:, k]) for k in range(5)]], names=["src", "rec_id", "lang", *_FIGURES])
 
-    return texts.select("src", "rec_id", "t").mapInArrow(rows, "src string, rec_id long, n_words long, repeated long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields[:3])
+    return encoded.select("src", "rec_id", "lang", "ids").mapInArrow(rows, f"{kinds}, " + ", ".join(f"{c} double" for c in _FIGURES))
 
 
-def repetition(texts: DataFrame, model: NgramModel | None = None) -> DataFrame:
-    """(src, rec_id, lang, n_words, repeated, share, perplexity, own_perplexity, lower_band, upper_band, verdict) per row
-    of (src, rec_id, lang, t).
+def _joined_figures(encoded: DataFrame, model: NgramModel) -> DataFrame:
+    """The same by a join of each text's distinct trigrams with the table of prices."""
+    encoded = cut_lineage(encoded.withColumn("_row", F.monotonically_increasing_id()))
 
-    ``verdict`` is 'repetitive' (share of at least ``HEAVY``, or own perplexity under the lower band), 'noise' (perplexity
-    over the upper band) or 'ok'; texts without words get null figures and 'ok'.  Null and empty texts are kept with 0 words; repeated rows are
-    judged alike.  Two scans of the texts; shuffled are trigram counts, never texts.
-    """
-    model = model or fit_ngrams(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    def grams(batches):
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            for lo, flat, offsets in _chunks(batch.column(1)):
+                again = np.zeros(len(flat), dtype=np.int64)
+                again[_repeats(flat, offsets)[0]] = 1
+                w1, w2, w3, word = _trigrams(flat)
+                own = np.repeat(row[lo : lo + len(offsets) - 1], np.diff(offsets))[1:][word]
+                _, first, back, n = np.unique(_key(own.astype(np.uint64), w1, w2, w3), return_index=True, return_inverse=True, return_counts=True)
+                seen = np.bincount(back, weights=again[1:][word], minlength=len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[first])] + [pa.array(x[first].astype(np.int32)) for x in (w1, w2, w3)] + [pa.array(n), pa.array(seen)],
+                    names=["_row", "w1", "w2", "w3", "n", "again"],
+                )
+
+    asked = encoded.select("_row", "ids").mapInArrow(grams, "_row long, w1 int, w2 int, w3 int, n long, again long")
+    saving = F.log(F.lit(CACHE) + F.lit(1 - CACHE) * F.exp("log_p")) - F.col("log_p")
+    priced = asked.join(model.rows, ["w1", "w2", "w3"]).withColumn("s", saving)
+    sums = priced.groupBy("_row").agg(
+        F.sum("n").alias("words"), F.sum(F.col("log_p") * F.col("n")).alias("log_p"), F.sum(F.col("s") * F.col("again")).alias("saved"),
+        F.array_sort(F.collect_list(F.struct("s", "n"))).alias("all"),
+    )
+    start = F.struct(F.ceil(F.lit(FORESEEN * HEAVY) * F.col("words") - F.lit(1e-9)).cast("long").alias("left"), F.lit(0.0).alias("sum"))
+
+    def take(acc, x):
+        n = F.least(acc["left"], x["n"])
+        return F.struct((acc["left"] - n).alias("left"), (acc["sum"] + n * x["s"]).alias("sum"))
 
+    sums = sums.select("_row", "log_p", "saved", F.aggregate("all", start, take, lambda acc: acc["sum"]).alias("least_saving"))
+    shares = _repeated_words(encoded.select("_row", "src", "rec_id", "lang", "ids"))
+    zero = F.lit(0.0)
+    return shares.join(sums, "_row", "left").select(
+        "src", "rec_id", "lang", "n_words", "repeated", *[F.coalesce(c, zero).alias(c) for c in ("log_p", "saved", "least_saving")]
+    )
+
+
+def _repeated_words(encoded: DataFrame) -> DataFrame:
     def rows(batches):
-        ids = _Ids()
         for batch in batches:
-            m = measure(batch.column(3).to_pylist(), shared.value, ids)
-            n = m[:, 0]
-            some = n > 0
-            div = np.maximum(n, 1)
-            floats = [np.where(some, x, 0.0) for x in (m[:, 1] / div, np.exp(-m[:, 2] / div), np.exp(-m[:, 3] / div))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(n.astype(np.int64)), pa.array(m[:, 1].astype(np.int64)),
-                 *[pa.array(x, mask=~some) for x in floats]],
-                names=["src", "rec_id", "lang", "n_words", "repeated", "share", "perplexity", "own_perplexity"],
-            )
-
-    scored = cut_lineage(
-        texts.select("src", "rec_id", F.coalesce("lang", F.lit("und")).alias("lang"), "t").mapInArrow(
-            rows, "src string, rec_id long, lang string, n_words long, repeated long, share double, perplexity double, own_perplexity double"
-        )
-    )
-    scored = scored.withColumn("ratio", F.try_divide(F.log("own_perplexity"), F.log("perplexity")))
+            m = measure(batch.column(4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(m[:, 0]), pa.array(m[:, 1])], names=["_row", "src", "rec_id", "lang", "n_words", "repeated"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields[:4])
+    return encoded.mapInArrow(rows, f"{kinds}, n_words double, repeated double")
+
+
+def repetition(texts: DataFrame, local_grams: int = LOCAL_GRAMS) -> DataFrame:
+    """(src, rec_id, lang, n_words, repeated, share, perplexity, own_perplexity, lower_band, upper_band, verdict) per row
+    of (src, rec_id, lang, t).
+
+    ``verdict`` is 'repetitive' (share of at least ``HEAVY``, or own perplexity under the language's lower band), 'noise'
+    (perplexity over the upper band) or 'ok'; ``lower_band`` is the higher one of the language's and the text's.  Texts
+    without words get null figures and 'ok'.  Null and empty texts are kept with 0 words; repeated rows are judged
+    alike.  One scan of the texts; shuffled are trigram counts, never texts.
+    """
+    encoded = cut_lineage(encode(texts))
+    model = fit_ngrams(encoded, local_grams)
+    figures = _figures(encoded, model.local) if model.local is not None else _joined_figures(encoded, model)
+    some = F.col("n_words") > 0
+    mean = lambda x: F.when(some, x / F.col("n_words"))
+    scored = figures.select(
+        "src", "rec_id", "lang", F.col("n_words").cast("long").alias("n_words"), F.col("repeated").cast("long").alias("repeated"),
+        mean(F.col("repeated")).alias("share"), F.exp(mean(-F.col("log_p"))).alias("perplexity"), F.exp(mean(-F.col("log_p") - F.col("saved"))).alias("own_perplexity"),
+        # the band is widened by rounding errors of the sums
+        F.exp(mean(-F.col("log_p") - F.col("least_saving") * (1 - 1e-6)) + 1e-9).alias("own_band"),
+    )
+    scored = cut_lineage(scored).withColumn("ratio", F.try_divide(F.log("own_perplexity"), F.log("perplexity")))
     bands = scored.groupBy("lang").agg(
         F.percentile_approx("perplexity", 0.5, 1000).alias("middle"), F.percentile_approx("ratio", 0.5, 1000).alias("middle_ratio")
     )
     return (
-        scored.join(F.broadcast(bands), "lang", "left")
+        scored.join(bands, "lang", "left")
         .withColumn("bound", F.lit(LOWER) * F.greatest("middle_ratio", F.lit(LEAST_RATIO)))
-        .withColumn("lower_band", F.greatest(F.pow("perplexity", "bound"), F.pow("middle", F.lit(FLOOR))))
+        .withColumn("lang_band", F.greatest(F.pow("perplexity", "bound"), F.pow("middle", F.lit(FLOOR))))
+        .withColumn("lower_band", F.greatest("lang_band", "own_band"))
         .withColumn("upper_band", F.pow("middle", F.lit(UPPER)))
         .withColumn(
             "verdict",
-            F.when(is_heavy() | (F.col("ratio") <= F.col("bound")) | (F.col("own_perplexity") <= F.col("lower_band")), "repetitive")
+            F.when((is_heavy() & (F.col("own_perplexity") <= F.col("lower_band"))) | (F.col("own_perplexity") <= F.col("lang_band")), "repetitive")
             .when(F.col("perplexity") > F.col("upper_band"), "noise").otherwise("ok"),
         )
-        .drop("middle", "middle_ratio", "ratio", "bound")
+        .drop("middle", "middle_ratio", "ratio", "bound", "own_band", "lang_band")
     )
 
 
@@ -346,5 +397,6 @@ def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts whose exact share is heavy; needs no model."""
-    return counted(_texts(spark, sf_dir)).where(is_heavy()).select("src", "rec_id")
+    """The texts under the lower band whose exact share is heavy."""
+    under = F.col("own_perplexity") <= F.col("lower_band")
+    return repetition(_texts(spark, sf_dir)).where(under & is_heavy()).select("src", "rec_id")

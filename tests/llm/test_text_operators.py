@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fabulon.llm import encoding as E
@@ -192,8 +193,9 @@ def test_repetition_against_brute_force(spark):
     for _ in range(60):
         base = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))]
         texts.append(" ".join(base * rng.randint(1, 3)))
-    got = R.measure(texts, None)
-    for t, (n, repeated, _, _) in zip(texts, got):
+    ids = R._Ids()
+    got = R.measure(pa.array([[ids[w] for w in R.words_of(t or "")] for t in texts], pa.list_(pa.int32())))
+    for t, (n, repeated, *_) in zip(texts, got):
         words = R.words_of(t or "")
         assert (n, repeated) == (len(words), brute_repeated(words))
     assert R.words_of("Né_É éx 4½ कि") == ["né", "é", "éx", "4½", "कि"]
@@ -211,6 +213,27 @@ def test_repetition_table(spark):
     assert all(got[i]["verdict"] != "repetitive" for i in range(60))
     assert got[101]["n_words"] == 0 and got[101]["share"] is None and got[102]["verdict"] == "ok"
     assert R.repetition(df.limit(0)).count() == 0
+    # prices too many to be broadcast are joined, with the same figures
+    joined = R.repetition(df, local_grams=0).collect()
+    assert len(joined) == df.count()
+    for r in joined:
+        for c in ("n_words", "repeated", "share", "perplexity", "own_perplexity", "lower_band", "verdict"):
+            assert r[c] == (pytest.approx(got[r["rec_id"]][c], rel=1e-4) if isinstance(r[c], float) else got[r["rec_id"]][c]), (r, c)
+
+
+def test_repetition_band_misses_no_heavy_text(spark):
+    """Texts at and around the share of 0.3, with common and rare phrases: all heavy ones lie under the lower band."""
+    rng = random.Random(12)
+    stock = ["the of and to in a is was it", "buy the best red lamp in town for less than ten coins today"]
+    rows = []
+    for i in range(400):
+        fresh = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))  # noqa: B023, E731
+        phrase = rng.choice(stock) if i % 2 else fresh(rng.randint(8, 14))
+        rows.append(("d", i, "en", " ".join([fresh(rng.randint(0, 16)), phrase, fresh(rng.randint(0, 6)), phrase, fresh(rng.randint(0, 16))])))
+    got = R.repetition(spark.createDataFrame(rows, "src string, rec_id long, lang string, t string")).collect()
+    heavy = [r for r in got if r["repeated"] >= R.HEAVY * r["n_words"]]
+    assert 50 < len(heavy) < 350
+    assert all(r["own_perplexity"] <= r["lower_band"] and r["verdict"] == "repetitive" for r in heavy)
 
 
 def test_repetition_of_a_phrase_common_in_the_corpus(spark, tmp_path):
@@ -236,7 +259,8 @@ def test_kneser_ney_is_a_distribution(spark):
 
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcde") for _ in range(30)) for _ in range(200)]
-    m = R.fit_ngrams(spark.createDataFrame([(t,) for t in texts], "t string"))
+    rows = spark.createDataFrame([("d", i, "en", t) for i, t in enumerate(texts)], "src string, rec_id long, lang string, t string")
+    m = R.fit_ngrams(R.encode(rows))
     ids = R._Ids()
     vocab = np.array([ids[w] for w in "abcde"], dtype=np.uint64)
     w1, w2 = np.full(5, ids["a"], np.uint64), np.full(5, ids["b"], np.uint64)
