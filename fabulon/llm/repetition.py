@@ -159,6 +159,12 @@ def _discounts(coc: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) if a else 0.75 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
+def _keyed(batches):
+    for batch in batches:
+        keys = _key(*[batch.column(k).to_numpy().astype(np.uint64) for k in range(3)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(batch.column(3).to_numpy().astype(np.float32))], names=["k", "log_p"])
+
+
 class NgramModel:
     """Log probabilities of all trigrams of the corpus, as a table (w1, w2, w3, log_p); ``local`` holds it in sorted hash
     arrays while it is small, else None."""
@@ -166,10 +172,11 @@ class NgramModel:
     def __init__(self, rows: DataFrame, local_grams: int = LOCAL_GRAMS):
         self.rows, self.local = rows, None
         if rows.count() <= local_grams:
-            got = rows.toPandas()
-            keys = _key(*[got[w].to_numpy(dtype=np.int64).astype(np.uint64) for w in ("w1", "w2", "w3")])
+            # executors hash the trigrams, the driver gets 12 bytes of each
+            got = rows.mapInArrow(_keyed, "k long, log_p float").toArrow()
+            keys = got["k"].to_numpy().view(np.uint64)
             order = np.argsort(keys)
-            self.local = keys[order], got["log_p"].to_numpy(dtype=np.float32)[order]
+            self.local = keys[order], got["log_p"].to_numpy()[order]
 
     def log_prob(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
         return look_up(self.local, _key(w1, w2, w3))
