@@ -1,94 +1,111 @@
-"""Chapter segmentation of raw texts by heading patterns."""
+"""Chapter segmentation of raw texts by heading patterns: column expressions only, one narrow stage in the JVM.
 
-from __future__ import annotations
+Offsets come from what lies between the matches: a text split at a pattern has one piece before each match, so running
+sums of the lengths of pieces and matches give all places at once.
+"""
 
-import re
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..settings import HEADINGS, TOC_GAP
+from ..functions.stats import let
+from ..functions.text import WHITE, word_count
+from ..settings import EXPLICIT_LABEL, HEADINGS, TITLE_CHARS, TOC_GAP
+
+#: A line: its beginning with white space before it, its end with white space after it.
+_LINE, _NARROW, _END = r"(?md)^\s*", r"(?md)^\s{0,4}", r"\s*$"
+
+
+def line_pattern(label: str, body: str) -> str:
+    """The pattern of a heading line; numerals alone stand at most four blanks in, other headings may follow blank lines."""
+    return (_NARROW if label.startswith("Roman") else _LINE) + f"(?:{body})" + _END
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
+def match_starts(text: Column, pattern: Column) -> Column:
+    """0-based offsets of the matches of ``pattern`` in ``text``."""
+    lengths = lambda a: F.transform(a, F.char_length)
+    gaps, found = lengths(F.split(text, pattern, -1)), lengths(F.regexp_extract_all(text, pattern, F.lit(0)))
+
+    def starts(gaps, found):
+        # as many pieces before the k-th match as matches before it, and one more
+        total = lambda a, k: F.aggregate(F.slice(a, 1, k), F.lit(0), lambda acc, x: acc + x)
+        return F.transform(found, lambda _, k: total(gaps, k + 1) + total(found, k))
+
+    return let(gaps, lambda g: let(found, lambda f: starts(g, f)))
 
-_COMPILED = {
-    lang: [
-        # numerals alone stand at most four blanks in; other headings may follow blank lines
-        (label, re.compile(rf"^\s{{0,4}}(?:{body})\s*$" if label.startswith("Roman") else rf"^\s*(?:{body})\s*$", re.M))
-        for label, body in rows
-    ]
-    for lang, rows in HEADINGS.items()
-}
 
+def _body_starts(text: Column, starts: Column) -> Column:
+    """Headings that have more than ``TOC_GAP`` characters up to the next one; the others are lines of a table of contents."""
+    following = lambda k: F.coalesce(F.get(starts, k + 1), F.char_length(text))
+    return F.filter(starts, lambda s, k: following(k) - s > TOC_GAP)
 
-def boundaries(text: str, lang: str, expected: int | None, titles: list[str] | None = None) -> tuple[str, list[int]] | None:
-    """(label, offsets) of the first pattern whose headings are as many as expected, else of explicit titles.
 
-    Headings closer than ``TOC_GAP`` to the next one are lines of a table of contents.  Counts within 3 or a fifth of
-    the expected number are accepted, any of at least 2 where none is expected.
+def boundaries(text: Column, lang: Column, expected: Column, titles: Column) -> Column:
+    """(label, offsets) of the first pattern of the language whose headings are as many as expected, else of the explicit
+    titles; null if neither fits.
+
+    Counts within 3 or a fifth of the expected number are accepted, any of at least 2 where none is expected.  Of a
+    title's lines the last one counts, at least two titles must be found.
     """
-    for label, pattern in _COMPILED.get(lang, _COMPILED["en"]):
-        at = [m.start() for m in pattern.finditer(text)]
-        kept = [a for a, b in zip(at, at[1:] + [len(text)]) if b - a > TOC_GAP]
-        n = len(kept)
-        if n >= 2 and (not expected or abs(n - expected) <= 3 or abs(n - expected) <= 0.2 * expected):
-            return label, kept
-    found = []
-    for title in titles or ():
-        last = None
-        for last in re.finditer(rf"^\s*{re.escape(title)}\s*$", text, re.M):
-            pass
-        if last is not None:
-            found.append(last.start())
-    return ("explicit_titles", sorted(found)) if len(found) >= 2 else None
-
-
-def chapters_of(text: str, at: list[int]) -> list[tuple[int, int, str, str, str]]:
-    """(number, offset, heading, title, body): the first line is the heading, a following line of less than 100
-    characters the title."""
-    out = []
-    for k, (a, b) in enumerate(zip(at, [*at[1:], len(text)]), 1):
-        lines = text[a:b].split("\n")
-        title, body = "", 1
-        for i, line in enumerate(lines[1:], 1):
-            if line.strip():
-                if len(line.strip()) < 100:
-                    title, body = line.strip(), i + 1
-                break
-        out.append((k, a, lines[0].strip(), title, "\n".join(lines[body:]).strip()))
-    return out
-
-
-_SCHEMA = (
-    "{keys}, lang string, pattern_used string, number int, offset int, heading string, title string, text string, "
-    "char_count int, word_count int"
-)
+
+    def plausible(n):
+        off = F.abs(n - expected)
+        return (n >= 2) & (expected.isNull() | (off <= 3) | (off <= F.lit(0.2) * expected))
+
+    def attempt(rows):
+        # a later pattern is looked for only where no earlier one fits
+        out = F.lit(None).cast("struct<label:string,offsets:array<int>>")
+        for label, body in reversed(rows):
+            starts = let(match_starts(text, F.lit(line_pattern(label, body))), lambda s: _body_starts(text, s))
+            rest = out
+            out = let(starts, lambda s: F.when(plausible(F.size(s)), F.struct(F.lit(label).alias("label"), s.alias("offsets"))).otherwise(rest))  # noqa: B023
+        return out
+
+    def last_line(title):
+        pattern = F.concat(F.lit(_LINE + r"\Q"), title, F.lit(r"\E" + _END))
+        return F.try_element_at(match_starts(text, pattern), F.lit(-1))
+
+    named = F.array_sort(F.filter(F.transform(F.coalesce(titles, F.array().cast("array<string>")), last_line), lambda x: x.isNotNull()))
+    explicit = let(named, lambda s: F.when(F.size(s) >= 2, F.struct(F.lit(EXPLICIT_LABEL).alias("label"), s.alias("offsets"))))
+    fits = F.when(lang == "fr", attempt(HEADINGS["fr"])).otherwise(attempt(HEADINGS["en"]))
+    return let(fits, lambda x: F.when(x.isNotNull(), x).otherwise(explicit))
+
+
+def parts_of(chunk: Column) -> Column:
+    """(heading, title, text) of a chapter's lines: the first one, the first visible one after it if it is short, the rest."""
+    heading, after = F.regexp_extract(chunk, r"\A[^\n]*", 0), F.regexp_replace(chunk, r"\A[^\n]*\n?", "")
+    first = rf"\A{WHITE}*(?!{WHITE})[^\n]+"
+
+    def split_title(rest):
+        line = _strip(F.regexp_extract(rest, first, 0))
+        short = (line != "") & (F.char_length(line) < TITLE_CHARS)
+        body = F.when(short, F.regexp_replace(rest, first, "")).otherwise(rest)
+        return F.struct(_strip(heading).alias("heading"), F.when(short, line).otherwise("").alias("title"), _strip(body).alias("text"))
+
+    return let(after, split_title)
 
 
 def segment(raw: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per chapter of (keys, lang, text, expected_chapters, titles).
+    """One row per chapter of (keys, lang, text, expected_chapters, titles): (keys, lang, pattern_used, number, offset,
+    heading, title, text, char_count, word_count).
 
     Texts in which no pattern is accepted give no rows, as do null ones.  A text is a row, so the stage is narrow and
     the longest text bounds a task; offsets count code points.
     """
-    kinds = ", ".join(f"{k} {raw.schema[k].dataType.simpleString()}" for k in keys)
-    schema = _SCHEMA.format(keys=kinds)
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                hit = boundaries(row["text"], row["lang"], row["expected_chapters"], row["titles"]) if row["text"] else None
-                for number, offset, heading, title, body in chapters_of(row["text"], hit[1]) if hit else ():
-                    own = [row[k] for k in keys]
-                    rows.append((*own, row["lang"], hit[0], number, offset, heading, title, body, len(body), len(body.split())))
-            if rows:
-                names = [*keys, "lang", "pattern_used", "number", "offset", "heading", "title", "text", "char_count", "word_count"]
-                ints = {"number", "offset", "char_count", "word_count"}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=pa.int32()) if n in ints else pa.array(c) for n, c in zip(names, zip(*rows))], names=names
-                )
-
-    return raw.select(*keys, "lang", "text", "expected_chapters", "titles").mapInArrow(run, schema)
+    text = F.col("_t")
+    found = raw.select(*keys, "lang", F.col("text").alias("_t"), boundaries(F.col("text"), F.col("lang"), F.col("expected_chapters"), F.col("titles")).alias("_b"))
+    rows = found.where("_b is not null").select(*keys, "lang", "_t", "_b", F.posexplode("_b.offsets").alias("_k", "offset"))
+    end = F.coalesce(F.get("_b.offsets", F.col("_k") + 1), F.char_length(text))
+    rows = rows.select(*keys, "lang", F.col("_b.label").alias("pattern_used"), (F.col("_k") + 1).alias("number"), "offset", parts_of(F.substring(text, F.col("offset") + 1, end - F.col("offset"))).alias("_p"))
+    return rows.select(
+        *keys, "lang", "pattern_used", "number", "offset", "_p.heading", "_p.title", "_p.text", F.char_length("_p.text").alias("char_count"),
+        word_count(F.col("_p.text")).alias("word_count"),
+    )
 
 
 def validate_counts(chapters: DataFrame, books: DataFrame) -> DataFrame:

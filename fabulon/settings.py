@@ -14,6 +14,8 @@ BEST_OF = (1, 5, 10)
 WINDOW_METHODS = ("xlm_roberta", "labmt")
 PARALLEL_CALLS = 20
 TOC_GAP = 500
+TITLE_CHARS = 100
+EXPLICIT_LABEL = "EXPLICIT_TITLES"
 METHOD_LANGUAGES = {
     "vader": ("en",), "labmt": ("fr",), "xlm_roberta": ("fr", "en"), "llm_judge": ("fr", "en"),
     "sw_xlm_roberta": ("fr", "en"), "sw_labmt": ("fr",),

@@ -1,6 +1,7 @@
 """Tokens, boilerplate, segmentation, scoring, selection, sources and sinks."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,23 +46,39 @@ def test_decoding(spark):
 BODY = "word " * 150
 
 
-def test_headings():
+def cut(spark, text, lang, expected, titles=None):
+    df = spark.createDataFrame([(lang, text, expected, titles)], "lang string, text string, expected_chapters int, titles array<string>")
+    return G.segment(df, []).orderBy("number").collect()
+
+
+def test_headings(spark):
     text = "CONTENTS\nCHAPTER I\nCHAPTER II\n\n" + "".join(f"\n\nCHAPTER {r}\n{BODY}" for r in ("I", "II", "III"))
-    label, at = G.boundaries(text, "en", 3)
-    assert label == "CHAPTER_UPPER" and len(at) == 3
-    first = G.chapters_of(text, at)[0]
+    got = cut(spark, text, "en", 3)
+    assert {r["pattern_used"] for r in got} == {"CHAPTER_UPPER"} and len(got) == 3
     # a heading after blank lines: its match begins on the blank line, so the marker becomes the title
-    assert first[2:4] == ("", "CHAPTER I") and first[4] == BODY.strip()
+    assert (got[0]["heading"], got[0]["title"], got[0]["text"]) == ("", "CHAPTER I", BODY.strip())
     direct = f"CHAPTER I\nThe Start\n{BODY}\nCHAPTER II\n{BODY}"
-    assert G.chapters_of(direct, G.boundaries(direct, "en", None)[1])[0][2:4] == ("CHAPTER I", "The Start")
-    assert G.boundaries(text, "en", 40) is None
-    assert G.boundaries("nothing", "en", None) is None
+    first = cut(spark, direct, "en", None)[0]
+    assert (first["heading"], first["title"]) == ("CHAPTER I", "The Start")
+    assert cut(spark, text, "en", 40) == [] and cut(spark, "nothing", "en", None) == []
     roman = f"I\r\n{BODY}\nII\n{BODY}"
-    assert G.boundaries(roman, "fr", 2)[0] == "Roman_Bare_FR"
+    assert cut(spark, roman, "fr", 2)[0]["pattern_used"] == "Roman_Bare_FR"
     named = f"THE HAT\nTHE CAT\n{BODY}\nTHE HAT\n{BODY}\nTHE CAT\n{BODY}"
-    label, at = G.boundaries(named, "en", 2, ["THE HAT", "THE CAT", "THE DOG"])
+    got = cut(spark, named, "en", 2, ["THE HAT", "THE CAT", "THE DOG", "(.*)"])
     # the last line of each title counts, in order of the text
-    assert label == "explicit_titles" and at == [named.rindex("THE HAT"), named.rindex("THE CAT")]
+    assert {r["pattern_used"] for r in got} == {"EXPLICIT_TITLES"} and [r["offset"] for r in got] == [named.rindex("THE HAT"), named.rindex("THE CAT")]
+    # eight chapters where five or twelve are expected
+    eight = "".join(f"BOOK {k}\n{BODY}\n" for k in range(1, 9))
+    assert [len(cut(spark, eight, "en", n)) for n in (4, 5, 10, 11, 12)] == [0, 8, 8, 8, 0]
+
+
+def test_matches_are_where_regular_expressions_find_them(spark):
+    texts = ["", "a", f"\n \n  IV \n\nx{BODY}\n\n\n\nV\n y", "I\n\n\nII\n\nIII", "CHAPTER ONE\nCHAPTER\nTWO .\n\n é\U0001f600\nCHAPTER 3", BODY]
+    for label, body in G.HEADINGS["en"]:
+        pattern = G.line_pattern(label, body)
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.match_starts(F.col("t"), F.lit(pattern)).alias("at"))
+        for r in df.collect():
+            assert r["at"] == [m.start() for m in re.finditer(pattern.replace("(?md)", "(?m)"), r["t"])], (label, r["t"])
 
 
 def test_segment_nulls(spark):
