@@ -24,31 +24,37 @@ def by_role(arcs: DataFrame, keys: list[str] = A.KEY, complete: bool = True) ->
 
 
 def _aligned(a: Column, b: Column) -> Column:
-    """Points at which both arcs have a value, over the shorter one's length."""
+    """Points at which both arcs have a value, with their positions, over the shorter one's length."""
     n = F.least(F.size(a), F.size(b))
     zipped = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    zipped = F.transform(zipped, lambda p, i: F.struct(i.alias("i"), p["a"].alias("a"), p["b"].alias("b")))
     sound = lambda v: v.isNotNull() & ~F.isnan(v)
     return F.filter(zipped, lambda p: sound(p["a"]) & sound(p["b"]))
 
 
 def pairs(roles: DataFrame, keys: list[str] = A.KEY, n_points: int = RESAMPLE_POINTS) -> DataFrame:
-    """(keys, pair, normalization, version_a, version_b, a, b, n): raw arcs cut to the shorter one ('chapter'), and
-    arcs resampled from their full length ('pct_normalized').  Pairs with a missing side are left out."""
+    """(keys, pair, normalization, version_a, version_b, a, b, n, at, length): raw arcs cut to the shorter one
+    ('chapter'), and arcs resampled from their full length ('pct_normalized'), without the points that either side lacks;
+    ``at`` holds the positions of the n points among ``length``.  Pairs with a missing side are left out."""
     rows = F.array(*[
         F.struct(F.lit(name).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(f"{x}_version").alias("version_a"), F.col(f"{y}_version").alias("version_b"))
         for name, x, y in PAIRS
     ])
     long = roles.select(*keys, F.explode(rows).alias("r")).where("r.x is not null and r.y is not null")
     forms = F.array(
-        F.struct(F.lit("chapter").alias("normalization"), _aligned(F.col("r.x"), F.col("r.y")).alias("ab")),
+        F.struct(
+            F.lit("chapter").alias("normalization"), _aligned(F.col("r.x"), F.col("r.y")).alias("ab"),
+            F.least(F.size("r.x"), F.size("r.y")).alias("length"),
+        ),
         F.struct(
             F.lit("pct_normalized").alias("normalization"),
-            _aligned(A.resample(F.col("r.x"), n_points), A.resample(F.col("r.y"), n_points)).alias("ab"),
+            _aligned(A.resample(F.col("r.x"), n_points), A.resample(F.col("r.y"), n_points)).alias("ab"), F.lit(n_points).alias("length"),
         ),
-    )
+    )
     return long.select(*keys, "r.pair", "r.version_a", "r.version_b", F.explode(forms).alias("f")).select(
         *keys, "pair", "f.normalization", "version_a", "version_b",
         F.transform("f.ab", lambda p: p["a"]).alias("a"), F.transform("f.ab", lambda p: p["b"]).alias("b"), F.size("f.ab").alias("n"),
+        F.transform("f.ab", lambda p: p["i"]).alias("at"), "f.length",
     ).where("n > 0")
 
 
@@ -78,7 +84,7 @@ def compare(pairs_: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     for m in metrics:
         if m in made:
             out = out.withColumn(m, made[m]())
-    kept = [c for c in pairs_.columns if c not in ("a", "b")]
+    kept = [c for c in pairs_.columns if c not in ("a", "b", "at", "length")]
     return out.select(*kept, *metrics)
 
 

@@ -126,8 +126,13 @@ def arc_build(spark, d):
     return A.points(_arcs(spark, d)).select("slug", "run_id", "method", "role", "version", F.col("pos").cast("long").alias("pos"), _r("score").alias("score"))
 
 
+def _open_arcs(spark, d):
+    """All arcs; points that are no numbers are missing ones, and what a missing point touches is missing too."""
+    return _arcs(spark, d).withColumn("scores", F.transform("scores", lambda x: F.when(~F.isnan(x), x)))
+
+
 def _long(spark, d, column):
-    arcs = _arcs(spark, d).where(~F.exists("scores", lambda x: x.isNull() | F.isnan(x)))
+    arcs = _open_arcs(spark, d)
     return A.points(arcs.withColumn("scores", column(F.col("scores")))).select(
         "slug", "run_id", "method", "version", F.col("pos").cast("long").alias("pos"), _r("score").alias("score")
     )
@@ -146,7 +151,7 @@ def arc_smooth_plots(spark, d):
 
 
 def _extrema(spark, d, sign):
-    arcs = _arcs(spark, d).where(~F.exists("scores", lambda x: x.isNull() | F.isnan(x)))
+    arcs = _open_arcs(spark, d)
     found = A.extrema(F.transform(A.smooth(F.col("scores")), lambda x: F.round(x, 9)), sign=sign)
     rows = arcs.select("slug", "run_id", "method", "version", F.posexplode(found).alias("k", "pos"))
     return rows.select("slug", "run_id", "method", "version", (F.col("k") + 1).cast("long").alias("rank_no"), F.col("pos").cast("long").alias("pos"))
@@ -208,20 +213,24 @@ def top_divergence(spark, d):
 
 def divergence_passages(spark, d):
     texts = R.full_texts(table(spark, d, "chapters").where("text is not null"), ["run_id", "version"])
-    found = _divergences(spark, d).where("method = 'xlm_roberta'")
+    found = _divergences(spark, d).where("method not like 'sw\\_%'")
     out = D.with_passages(found, texts.withColumn("window_words", F.lit(None).cast("int")))
     return out.select(*A.KEY, "pair", F.col("rank_no").cast("long").alias("rank_no"), "excerpt_a", "excerpt_b")
 
 
 def window_passages(spark, d):
     texts = R.full_texts(table(spark, d, "chapters").where("text is not null"), ["run_id", "version"])
-    found = _divergences(spark, d).where("method = 'sw_xlm_roberta'")
+    found = _divergences(spark, d).where("method like 'sw\\_%'")
     out = D.with_passages(found, texts.withColumn("window_words", F.lit(WINDOW)))
     return out.select(*A.KEY, "pair", F.col("rank_no").cast("long").alias("rank_no"), "excerpt_a", "excerpt_b")
 
 
 def qualitative_report(spark, d):
-    return D.markdown(table(spark, d, "divergences"), ["slug", "run_id"])
+    """One report per book, run and method, headed by the book's title."""
+    titles = table(spark, d, "books").select("slug", F.col("title").alias("book_title"))
+    found = table(spark, d, "divergences").join(titles, "slug", "left")
+    title = F.concat(F.coalesce("book_title", "slug"), F.lit(" ("), "method", F.lit(")"))
+    return D.markdown(found, ["slug", "run_id", "method"], title)
 
 
 def best_of_n(spark, d):
@@ -277,17 +286,19 @@ def judge_parse(spark, d):
     return c.select("msg_id", _r(T.judge_score("text")).alias("score"))
 
 
-def _raw_books(spark, d, bare=False):
-    """A raw text per run and version: each chapter under its heading, within start and end marks.  ``bare`` keeps
-    chapters without a heading, as their text alone."""
+def _raw_books(spark, d):
+    """A raw text per run and version: each chapter under its heading, those without one as their text alone, within
+    start and end marks; with the number of chapters and the headings."""
     c = table(spark, d, "chapters").where("text is not null and run_id is not null and version is not null")
     headed = F.coalesce(F.col("heading") != "", F.lit(False))
-    c = c if bare else c.where(headed)
     t = F.when(headed, F.concat("heading", F.lit("\n\n"), "text")).otherwise(F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("number", "chapter_id", t.alias("t"))))
-    books = c.groupBy("run_id", "version", "lang").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n\n").alias("t"))
+    books = c.groupBy("run_id", "version", "lang").agg(
+        F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n\n").alias("t"), F.countDistinct("number").cast("int").alias("expected_chapters"),
+        F.array_sort(F.collect_set(F.when(headed, F.col("heading")))).alias("titles"),
+    )
     text = F.concat(F.lit("Notes\n*** START OF THE TEXT ***\n"), "t", F.lit("\n\n*** END OF THE TEXT ***\nMore notes"))
-    return books.select("run_id", "version", "lang", text.alias("text"))
+    return books.select("run_id", "version", "lang", text.alias("text"), "expected_chapters", "titles")
 
 
 def strip_boilerplate(spark, d):
@@ -295,12 +306,21 @@ def strip_boilerplate(spark, d):
     return _raw_books(spark, d).select("run_id", "version", F.char_length(t).cast("long").alias("chars"), F.md5(t).alias("digest"))
 
 
-def chapter_segmentation(spark, d):
-    raw = _raw_books(spark, d, bare=True).withColumn("text", T.strip_boilerplate(F.col("text")))
-    raw = raw.withColumn("expected_chapters", F.lit(None).cast("int")).withColumn("titles", F.lit(None).cast("array<string>"))
-    got = G.segment(raw, ["run_id", "version"])
+def _segmented(raw):
+    got = G.segment(raw.withColumn("text", T.strip_boilerplate(F.col("text"))), ["run_id", "version", "lang_of_text"])
     ints = [F.col(c).cast("long").alias(c) for c in ("number", "offset", "char_count", "word_count")]
-    return got.select("run_id", "version", "pattern_used", "heading", "title", *ints)
+    return got.select("run_id", "version", "lang_of_text", "pattern_used", "heading", "title", F.md5("text").alias("digest"), *ints)
+
+
+def chapter_segmentation(spark, d):
+    """Any number of chapters is accepted, and there are no titles."""
+    raw = _raw_books(spark, d).withColumn("lang_of_text", F.col("lang"))
+    return _segmented(raw.withColumn("expected_chapters", F.lit(None).cast("int")).withColumn("titles", F.lit(None).cast("array<string>")))
+
+
+def chapter_segmentation_expected(spark, d):
+    """As many chapters as the run has are expected; its headings are the titles to fall back on."""
+    return _segmented(_raw_books(spark, d).withColumn("lang_of_text", F.col("lang")))
 
 
 def chapter_validation(spark, d):
@@ -318,7 +338,7 @@ def chapter_counts(spark, d):
 
 
 def arc_overlay(spark, d):
-    got = V.overlay(_arcs(spark, d).where(~F.exists("scores", lambda x: x.isNull())))
+    got = V.overlay(_open_arcs(spark, d))
     return got.select(*A.KEY, "version", F.col("pos").cast("long").alias("pos"), _r("x").alias("x"), _r("raw").alias("raw"), _r("smoothed").alias("smoothed"))
 
 
@@ -327,11 +347,19 @@ def arc_drift(spark, d):
 
 
 def metric_heatmap(spark, d):
-    names = ("pearson_r", "rmse", "mean_abs_diff", "cosine_similarity")
+    """The metrics that SQL can express."""
+    return _heatmap(spark, d, ("pearson_r", "spearman_rho", "rmse", "mean_abs_diff", "cosine_similarity"))
+
+
+def _heatmap(spark, d, names):
     got = V.heatmap(M.compare(_pairs(spark, d), names), names)
     return got.select(*A.KEY, "metric", _r("orig_human").alias("orig_human"), _r("orig_llm").alias("orig_llm"))
 
 
+def metric_heatmap_all(spark, d):
+    return _heatmap(spark, d, METRICS)
+
+
 def fidelity_scatter(spark, d):
     got = V.fidelity(M.compare(_pairs(spark, d), ("pearson_r",)))
     return got.select(*A.KEY, _r("r_orig_human").alias("r_orig_human"), _r("r_orig_llm").alias("r_orig_llm"))
@@ -352,8 +380,8 @@ NAMES = (
     "arc_smooth", "arc_smooth_plots", "arc_peaks", "arc_troughs", "arc_pairs", "arc_completeness", "arc_pearson", "arc_spearman", "arc_pvalue",
     "arc_errors", "arc_cosine", "arc_dtw", "peak_alignment", "trough_alignment", "results_table", "results_nested", "top_divergence",
     "divergence_passages", "window_passages", "qualitative_report", "best_of_n", "candidate_correlation", "temperature_sweep",
-    "calibration_offset", "pending_work", "dry_run", "token_accounting", "judge_parse", "strip_boilerplate", "chapter_segmentation",
-    "chapter_validation", "chapter_counts", "arc_overlay", "arc_drift", "metric_heatmap", "fidelity_scatter", "strategy_comparison",
+    "calibration_offset", "pending_work", "dry_run", "token_accounting", "judge_parse", "strip_boilerplate", "chapter_segmentation", "chapter_segmentation_expected",
+    "chapter_validation", "chapter_counts", "arc_overlay", "arc_drift", "metric_heatmap", "metric_heatmap_all", "fidelity_scatter", "strategy_comparison",
     "best_of_n_summary",
 )
 
