@@ -59,6 +59,10 @@ def test_alignment(spark):
     got = {(r["key_a"], r["start_a"], r["start_b"]) for r in A.align(docs, A.fit_table(docs)).collect()}
     hit = len(got & want)
     assert hit / len(want) > 0.93 and hit / len(got) > 0.93, (hit, len(want), len(got))
+    # a table too large to be broadcast is joined, with the same links
+    joined = A.align(docs, A.fit_table(docs, rounds=1, local_pairs=0)).collect()
+    local = A.align(docs, A.fit_table(docs, rounds=1)).collect()
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, local))
 
 
 def test_alignment_offsets_of_odd_texts():
