@@ -22,7 +22,7 @@ from .languages import Languages, fit_languages, label
 from .refusals import is_refusal
 from .repetition import words_of
 from .sentences import sentence_spans
-from .truncation import MARGIN, EndModel, corpus, fit_ends, is_closed, tail, with_odds
+from .truncation import MARGIN, EndModel, corpus, fit_ends, is_closed, tail, text_odds, with_odds
 
 # Names of languages in requests.
 LANGUAGE_NAMES = {
@@ -211,16 +211,20 @@ def is_copy(answer: str, prompt: str) -> bool:
     lead = _LEAD_IN.match(answer)
     body = answer[lead.end() :] if lead and len(answer) - lead.end() > 10 else answer
     head, _, rest = prompt.strip().partition("\n")
-    passages = [p for p in (prompt, rest, prompt.partition(":")[2]) if p.strip()]
-    for text in {body, answer}:
+    passages = [words_of(p) for p in dict.fromkeys((prompt, rest, prompt.partition(":")[2])) if p.strip()]
+    for text in dict.fromkeys((body, answer)):
         a = words_of(text)
-        for p in passages:
-            b = words_of(p)
-            if a and b and (n := tiled(a, b, COPY_ANSWER)) >= COPY_ANSWER * len(a) and n >= COPY_PROMPT * len(b):
-                return True
+        for b in passages:
+            if not a or not b or len(b) > len(a) / COPY_PROMPT and len(b) > len(a) + 0.4 * len(b):
+                continue  # too short to cover its part of the prompt either way
             # letters lost here and there leave few whole runs of words: tile characters where many words recur
             known = set(b)
-            if sum(w in known for w in a) >= SHARED * len(a) and abs(len(a) - len(b)) <= 0.4 * len(b):
+            shared = sum(w in known for w in a)
+            if shared < SHARED * len(a):
+                continue  # no tiles, of words or of characters, can cover enough
+            if (n := tiled(a, b, COPY_ANSWER)) >= COPY_ANSWER * len(a) and n >= COPY_PROMPT * len(b):
+                return True
+            if abs(len(a) - len(b)) <= 0.4 * len(b):
                 x, y = " ".join(a), " ".join(b)
                 if (n := tiled(x, y, CHARS_ANSWER, CHAR_TILE)) >= CHARS_ANSWER * len(x) and n >= CHARS_PROMPT * len(y):
                     return True
@@ -256,14 +260,18 @@ def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel, language
     Null and blank answers are 'empty'; without a prompt an answer is judged by itself; a repeated answer (another
     rec_id) is judged again.  Narrow stages; the models have fixed or checked size.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((chains, languages))
+    local = model.local is not None
+    shared = pairs.sparkSession.sparkContext.broadcast((chains, languages, model.local, model.prior))
     limit = model.typical - MARGIN
 
     def rows(batches):
-        chain, known = shared.value
+        chain, known, ends, prior = shared.value
         for batch in batches:
             found = []
-            for s, r, a, p, lg, w, o in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [c.to_pylist() for c in batch.columns]
+            if local:
+                columns.append(text_odds(columns[2], ends, prior).tolist())
+            for s, r, a, p, lg, w, o in zip(*columns):
                 short = bool(w and a and len(a.split()) < 0.9 * w)
                 hit = repair(a, chain) if s == "chapters" else None
                 garbled = hit is not None
@@ -274,7 +282,8 @@ def flag_defects(pairs: DataFrame, model: EndModel, chains: ChainModel, language
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["src", "rec_id", "defect"])
 
-    scored = with_odds(pairs.select("src", "rec_id", "answer", "prompt", "lang", "words"), "answer", model)
+    scored = pairs.select("src", "rec_id", "answer", "prompt", "lang", "words")
+    scored = scored if local else with_odds(scored, "answer", model)
     return scored.mapInArrow(rows, "src string, rec_id long, defect string")
 
 

@@ -91,26 +91,42 @@ HEDGES = (
 #: Languages whose act may stand before the inability.
 VERB_LAST = ("de", "ja", "hi", "zh")
 
+# Letters, in lower case, without which a text can hold no inability and no rule of the language.
+HINTS = {
+    "en": (("i can", "i won", "i will", "i must", "i have", "i am", "i'", "i’", "i prefer", "i would", "ly decline", "ly refuse", "i decline", "i refuse"),
+           ("as an ", "i can", "i may", "i am", "guideline", "polic", "instruction", "rules")),
+    "fr": (("je n", "je d", "je p", "je r", "je s", "il m", "m'ex", "m’ex", "excuses"), ("en tant qu", "ce que j", "mes ")),
+    "de": (("ich",), ("als ", "meine ")),
+    "es": (("no p", "no m", "no e", "no t", "debo ", "niego"), ("como ", "mis ")),
+    "ru": (("я ", "мне ", "сожален"), ("как ", "мои ")),
+    "zh": (("无法", "不能", "不便", "没法", "不可以", "未被允许", "拒绝"), ("作为", "超出", "我的")),
+    "ja": (("できません", "かねます", "お断り", "許可され", "応じられ"), ("として", "ガイドライン")),
+    "hi": (("मैं", "मुझे"), ("के रूप में", "के नाते", "मेरे")),
+    "th": (("ไม่สามารถ", "ไม่อาจ", "ไม่ได้รับ", "ปฏิเสธ"), ("ในฐานะ", "แนวทาง")),
+}
+
 _UNABLE = {k: re.compile(v["unable"], re.I) for k, v in GRAMMAR.items()}
 _ACT = {k: re.compile(v["act"], re.I) for k, v in GRAMMAR.items()}
 _WEAK = {k: re.compile(v["weak"], re.I) for k, v in GRAMMAR.items()}
+_RULE = {k: re.compile(v["rule"], re.I) for k, v in GRAMMAR.items()}
 _HEDGE = re.compile(HEDGES, re.I)
-_RULE = re.compile("|".join(v["rule"] for v in GRAMMAR.values()), re.I)
-_ANY = re.compile("|".join(v["unable"] for v in GRAMMAR.values()), re.I)
 _QUOTED = re.compile(r"«[^»]*(?:»|\Z)|“[^”]*(?:”|\Z)|„[^“”]*(?:[“”]|\Z)|\"[^\"]*(?:\"|\Z)|「[^」]*(?:」|\Z)|^[^\S\n]*[—–][^\n]*", re.M)
 _SENTENCE = re.compile(r"[^.!?\n\]。！？।]+")
 
 
 def is_refusal(text: str) -> bool:
     """A sentence of ``text`` outside quoted speech (marks or a dash at the beginning of a line) declines the task."""
-    if _ANY.search(text) is None and _RULE.search(text) is None:
+    low = text.lower()
+    unable = [k for k, (hints, _) in HINTS.items() if any(h in low for h in hints) and _UNABLE[k].search(text)]
+    ruled = [k for k, (_, hints) in HINTS.items() if any(h in low for h in hints) and _RULE[k].search(text)]
+    if not unable and not ruled:
         return False
     plain = _QUOTED.sub(" ", text)
-    if _RULE.search(plain):
+    if any(_RULE[k].search(plain) for k in ruled):
         return True
     for s in _SENTENCE.findall(plain):
-        for lang, unable in _UNABLE.items():
-            m = unable.search(s)
+        for lang in unable:
+            m = _UNABLE[lang].search(s)
             if not m:
                 continue
             # an act inside the words of inability ("must decline") counts as well
