@@ -1,8 +1,9 @@
 """Visually identical text with different characters (problem 4).
 
 A transducer compiled once from Unicode data rewrites a text in one pass.  It reads words that hold at least one
-character outside plain text, cuts them into grapheme clusters and replaces each by the longest entry of a mapping
-for widths, accents, spaces, joined letters, numerals, invisible characters and look-alikes.
+character outside plain text, cuts them into grapheme clusters and replaces their parts by the longest entries of a trie
+for widths, accents (letters with any of their marks, in any order, and the syllables of Hangul), spaces, joined letters,
+numerals, invisible characters and look-alikes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata as ud
+from functools import lru_cache
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrowio import flat_map, table
@@ -20,6 +23,8 @@ from .encoding import ChainModel, chapter_model, repair
 LOOK_ALIKES = {
     "АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухԁһԛԝӏүΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαρυκ":
     "ABESIJKMHOPCTYXGQWYaesijopcyxdhqwlyABEZHIKMNOPTYXovlapuk",
+    # Armenian, Cherokee and phonetic letters
+    "օոսհզյՕՍՏ": "onuhqjOUS", "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ": "ABCDEGHJKLMPRSTVWZ", "ɡɑ": "ga",
 }
 # Accented letters of other scripts that look like accented Latin ones.
 LOOK_ALIKE_ACCENTS = {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ά": "á", "ό": "ó", "ί": "í", "ύ": "ú", "ѐ": "è", "Ѐ": "È", "Ά": "Á", "Έ": "É", "Ό": "Ó", "ӓ": "ä", "Ӓ": "Ä", "ӧ": "ö", "Ӧ": "Ö"}
@@ -35,11 +40,14 @@ def _script(ch: str) -> str:
         return "G" if ch.isalpha() else ""
     if 0x400 <= o < 0x530:
         return "C" if ch.isalpha() else ""
+    if 0x530 <= o < 0x590 or 0x13A0 <= o < 0x1400 or ch in "ɡɑ":
+        return "A" if o < 0x590 and o >= 0x530 else "K" if o >= 0x13A0 else "I"
     return "O" if ch.isalpha() else ""
 
 
-def _compile() -> tuple[dict[str, str], dict[str, str]]:
-    """(mapping valid anywhere, look-alikes valid inside words of mixed script); raises on conflicts."""
+def _compile() -> tuple[dict[str, str], dict[str, str], dict]:
+    """(mapping valid anywhere, look-alikes valid inside words of mixed script, trie of the mapping and of all sequences
+    that one character stands for); raises on conflicts."""
     plain: dict[str, str] = {}
 
     def put(src: str, dst: str) -> None:
@@ -84,10 +92,29 @@ def _compile() -> tuple[dict[str, str], dict[str, str]]:
     for src, dst in [*plain.items(), *twins.items()]:
         if any(ch in plain or (src in twins and ch in twins) for ch in dst):
             raise ValueError(f"{src!r} maps to {dst!r}, which is mapped again")
-    return plain, twins
+    trie: dict = {}
+
+    def grow(src: str, dst: str) -> None:
+        node = trie
+        for ch in src:
+            node = node.setdefault(ch, {})
+        if node.setdefault("", dst) != dst:
+            raise ValueError(f"conflict for {src!r}: {node['']!r} and {dst!r}")
+
+    for src, dst in plain.items():
+        grow(src, dst)
+    for o in (*range(0xC0, 0xD800), *range(0xF900, sys.maxunicode + 1)):
+        ch = chr(o)
+        if 0xAC00 <= o < 0xD7A4 or (ud.decomposition(ch) and not ud.decomposition(ch).startswith("<")):
+            if ud.normalize("NFC", ch) == ch:
+                whole = ud.normalize("NFD", ch)
+                # spelled out, and as a composed beginning with its last part
+                for src in {whole, ud.normalize("NFC", whole[:-1]) + whole[-1]}:
+                    grow(src, ch)
+    return plain, twins, trie
 
 
-_PLAIN, _TWINS = _compile()
+_PLAIN, _TWINS, _TRIE = _compile()
 _BACK = {v: k for k, v in reversed(_TWINS.items()) if _script(k) == "C"}
 
 
@@ -105,34 +132,90 @@ def _char_class(chars: list[int]) -> str:
 _MARKS = _char_class([o for o in range(0x300, 0x10000) if not 0xD800 <= o < 0xE000 and ud.category(chr(o))[0] == "M"])
 _HIDDEN = _char_class(sorted(ord(c) for c, d in _PLAIN.items() if d == "" and len(c) == 1))
 _KEYS = _char_class(sorted({ord(c) for c in _PLAIN if len(c) == 1 and _PLAIN[c] != ""}))
-_JOINABLE = "Ͱ-ԯἀ-῿"
+_JOINABLE = "Ͱ-֏Ꭰ-Ᏽἀ-῿ɡɑ"
 #: A word: letters, digits, marks and invisible characters.  Only words with something to look at are taken apart.
 _WORD = re.compile(rf"[^\W_](?:[\w{_MARKS}{_HIDDEN}])*|[{_HIDDEN}]+(?:[\w{_MARKS}{_HIDDEN}])*|\r\n|[{_KEYS}]")
 _ODD_ASCII = re.compile(r"[\r\t\v\f]")
 _ODD = re.compile(rf"[{_MARKS}{_HIDDEN}{_KEYS}{_JOINABLE}\r\t\v\f]")
-_CLUSTER = re.compile(rf"\r\n|.[{_MARKS}]*", re.S)
+_CLUSTER = regex.compile(r"\X")
 _ROMAN = re.compile(r"[IVXLCDM]+\Z")
+_MARK_RUN = re.compile(f"[{_MARKS}]{{2,}}")
+_INVISIBLE = re.compile(f"[{_HIDDEN}]")
 _INDIC = re.compile(r"[ऀ-෿؀-ۿ]")
 
 
+@lru_cache(maxsize=None)
+def _spelled(ch: str) -> str:
+    """The plain form of a character, as a letter and its marks."""
+    return "".join(_spelled(part) if part != ch else part for part in (_PLAIN.get(ch) or _parts(ch)))
+
+
+def _parts(ch: str) -> str:
+    o = ord(ch) - 0xAC00
+    if 0 <= o < 11172:  # a syllable of Hangul
+        return chr(0x1100 + o // 588) + chr(0x1161 + o % 588 // 28) + (chr(0x11A7 + o % 28) if o % 28 else "")
+    spelling = ud.decomposition(ch)
+    return "".join(chr(int(x, 16)) for x in spelling.split()) if spelling and spelling[0] != "<" else ch
+
+
+def _longest(chars: str, i: int) -> tuple[str, int]:
+    """What the longest entry that begins at ``i`` stands for, and where it ends; a character without entry is itself."""
+    node, hit, end = _TRIE.get(chars[i]), chars[i], i + 1
+    k = i + 1
+    while node is not None:
+        if "" in node:
+            hit, end = node[""], k
+        if k >= len(chars):
+            break
+        node = node.get(chars[k])
+        k += 1
+    return hit, end
+
+
+def _rewrite_cluster(cluster: str) -> str:
+    """One pass over the cluster: its marks in order of their class, longest entries first; then marks that still combine
+    with the letter before them past others of another class."""
+    hit, end = _longest(cluster, 0)
+    if end == len(cluster):
+        return hit
+    # spelled out, with the marks behind each letter in order of their class
+    cluster = "".join(map(_spelled, cluster))
+    cluster = _MARK_RUN.sub(lambda m: "".join(sorted(m.group(), key=ud.combining)), cluster)
+    out, i = [], 0
+    while i < len(cluster):
+        hit, i = _longest(cluster, i)
+        out.append(hit)
+    if len(out) < 2:
+        return out[0]
+    # what the first pass has made may go together again
+    text, kept, last = out[0], [], 0
+    for part in out[1:]:
+        for ch in part:
+            kind = ud.combining(ch)
+            pair = _TRIE.get(text[-1:], {}).get(ch, {}).get("") if text and (last < kind or not kept) else None
+            if pair is not None:
+                text = text[:-1] + pair
+            elif kind:
+                kept.append(ch)
+                last = kind
+            else:
+                text, kept, last = text + "".join(kept) + ch, [], 0
+    return text + "".join(kept)
+
+
 def _rewrite_word(word: str) -> str:
     if word.isascii() and word.isalnum():
         return word
     keep_joiners = bool(_INDIC.search(word))
     out = []
-    for m in _CLUSTER.finditer(word):
-        cluster = m.group()
-        if keep_joiners and cluster in "‌‍":
-            out.append(cluster)
-            continue
-        # longest match: the cluster, then its base character with the marks left over
-        hit = _PLAIN.get(cluster)
-        if hit is None:
-            hit = _PLAIN.get(cluster[0], cluster[0]) + "".join(_PLAIN.get(ch, ch) for ch in cluster[1:])
-            if len(cluster) > 1:
-                hit = ud.normalize("NFC", hit)
-        out.append(hit)
-    text = ud.normalize("NFC", "".join(out)) if len(out) != len(word) else "".join(out)
+    for cluster in _CLUSTER.findall(word):
+        if keep_joiners and ("\u200c" in cluster or "\u200d" in cluster):
+            out += [part if part in "\u200c\u200d" else _rewrite_cluster(part) for part in re.split("([\u200c\u200d])", cluster) if part]
+        else:
+            visible = _INVISIBLE.sub("", cluster)
+            if visible:
+                out.append(_rewrite_cluster(visible))
+    text = "".join(out)
     scripts = {s for ch in text if (s := _script(ch))}
     if scripts <= {"L"} or "O" in scripts:
         return text

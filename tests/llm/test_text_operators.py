@@ -137,6 +137,22 @@ def test_visual_keeps(text):
     assert V.normalize(text) == text
 
 
+def test_visual_composition():
+    """Letters with marks in any order, composed or not, come out as the composed form does."""
+    import unicodedata as ud
+
+    rng = random.Random(1)
+    bases, marks = "aeiouAEOcnsyzαωеиÅéḍệ각가", "\u0327\u0323\u0331\u0301\u0300\u0308\u030a\u0302\u0304"
+    for _ in range(3000):
+        word = "".join(rng.choice(bases) + "".join(rng.choice(marks) for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))) for _ in range(3))
+        assert "".join(map(V._rewrite_cluster, V._CLUSTER.findall(word))) == ud.normalize("NFC", word), word
+    assert V.normalize(ud.normalize("NFD", "한글 Việt Nam ǖ")) == "한글 Việt Nam ǖ"
+    for odd, plain in (("ɡrand", "grand"), ("hօrloge", "horloge"), ("ᏢARIS", "PARIS")):
+        assert V.normalize(odd) == plain
+    for text in ("Հայերեն", "ᏣᎳᎩ", "👩\u200d👩\u200d👧"):
+        assert V.normalize(text) == text
+
+
 def test_visual_table(spark, model):
     rows = [(1, "ab​c", None), (2, "　​", "XI."), (3, E.garble("été là", ("cp1252",)), "ＸＩ"), (4, "plain", "")]
     df = spark.createDataFrame(rows, "chapter_id long, text string, heading string")
