@@ -237,7 +237,14 @@ def normalize(text: str | None) -> str | None:
     """The one consistent form of ``text``; null stays null."""
     if not text or (_ODD_ASCII if text.isascii() else _ODD).search(text) is None:
         return text
-    return _WORD.sub(lambda m: _rewrite_word(m.group()), text)
+
+    def rewrite(m: re.Match) -> str:
+        # a joiner between two pictures makes one of them
+        if m.group() == "\u200d" and ud.category(text[m.end() : m.end() + 1] or " ") == "So":
+            return m.group()
+        return _rewrite_word(m.group())
+
+    return _WORD.sub(rewrite, text)
 
 
 def normalize_fields(
