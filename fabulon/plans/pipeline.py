@@ -137,16 +137,34 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
         own = spark.read.parquet(f"{a.out}/chapters").select(*cols)
         return own if done is None else own.unionByName(done.select(*cols))
 
+    def measured() -> DataFrame:
+        """The saved metrics; they are computed once, by whichever phase needs them first."""
+        path = f"{a.out}/metrics"
+        if not fresh:
+            metrics_phase(arcs).write.mode("overwrite").parquet(path)
+            fresh.append(path)
+        return spark.read.parquet(path)
+
+    def report() -> None:
+        found = qualitative_phase(arcs, texts, windows)
+        title = F.col("slug")
+        if books is not None:
+            found = found.join(books.select("slug", F.col("title").alias("book_title")), "slug", "left")
+            title = F.coalesce("book_title", "slug")
+        W.markdown_reports(D.markdown(found, ["slug", "method"], F.concat(title, F.lit(" ("), "method", F.lit(")"))), f"{a.out}/reports")
+        W.json_reports(D.nested_json(found, ["slug", "method"], title), f"{a.out}/reports_json")
+
+    fresh: list[str] = []
     steps = {
         "split": lambda: split_phase(spark, books, a.raw).write.mode("overwrite").partitionBy("lang").parquet(f"{a.out}/chapters"),
         "sentiment": lambda: W.score_documents(sentiment_phase(chapters(), a.methods, texts if a.sliding_window else None), f"{a.out}/scores"),
-        "metrics": lambda: (W.results_csv(metrics_phase(arcs), f"{a.out}/results_csv"), W.results_json(metrics_phase(arcs), f"{a.out}/results_json")),
-        "qualitative": lambda: W.markdown_reports(D.markdown(qualitative_phase(arcs, texts, windows), ["slug", "method"]), f"{a.out}/reports"),
+        "metrics": lambda: (W.results_csv(measured(), f"{a.out}/results_csv"), W.results_json(measured(), f"{a.out}/results_json")),
+        "qualitative": report,
         "visualize": lambda: [
             V.overlay(arcs).write.mode("overwrite").parquet(f"{a.out}/overlay"),
             V.drift(arcs).write.mode("overwrite").parquet(f"{a.out}/drift"),
-            V.heatmap(metrics_phase(arcs), METRICS).write.mode("overwrite").parquet(f"{a.out}/heatmap"),
-            V.fidelity(metrics_phase(arcs)).write.mode("overwrite").parquet(f"{a.out}/fidelity"),
+            V.heatmap(measured(), METRICS).write.mode("overwrite").parquet(f"{a.out}/heatmap"),
+            V.fidelity(measured()).write.mode("overwrite").parquet(f"{a.out}/fidelity"),
             V.best_of_n_comparison(arcs).write.mode("overwrite").parquet(f"{a.out}/best_of_n_comparison"),
             done is not None and V.best_of_n_fidelity(done).write.mode("overwrite").parquet(f"{a.out}/best_of_n_fidelity"),
         ],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import decode_bytes, strip_boilerplate
-from ..settings import METHOD_SUFFIXES
+from ..settings import METHOD_SUFFIXES, METRICS
 
 CHAPTER_DOC = """
     title STRING, author STRING, language STRING, source_language STRING, direction STRING, model STRING, gutenberg_id INT,
@@ -92,6 +92,12 @@ def lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True).withColumn("ord", F.monotonically_increasing_id())
 
 
+def saved_results(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics that ``writers.results_csv`` has saved; undefined values come back as null."""
+    schema = "slug string, method string, pair string, normalization string, " + ", ".join(f"{m} double" for m in METRICS)
+    return spark.read.csv(path, header=True, schema=schema, nullValue="nan", enforceSchema=True)
+
+
 def work_filter(books: DataFrame, names: list[str]) -> DataFrame:
     """Books by title or slug, whatever case and outer blanks; unknown names match nothing."""
     wanted = [n.strip().lower() for n in names]

@@ -40,5 +40,9 @@ def chapter_documents(chapters: DataFrame, path: str) -> None:
     chapters.write.mode("overwrite").partitionBy("slug", "lang").parquet(path)
 
 
+def json_reports(reports: DataFrame, path: str, key: str = "slug") -> None:
+    reports.select(key, "report").write.mode("overwrite").partitionBy(key).text(path)
+
+
 def markdown_reports(reports: DataFrame, path: str, key: str = "slug") -> None:
     reports.select(key, "report").write.mode("overwrite").partitionBy(key).text(path)

@@ -6,6 +6,7 @@ import pytest
 
 from fabulon.operators import scoring as S
 from fabulon.plans import pipeline as P
+from fabulon.sources import readers as R
 
 
 @pytest.fixture
@@ -45,11 +46,20 @@ def test_whole_pipeline(spark, book):
     assert set(P.run(spark, arguments(book, "all")).values()) == {"done"}
     # the passages of chapters and of windows
     reports = "\n".join(p.read_text() for p in (book / "out/reports").rglob("*.txt"))
-    parts = {r.split("\n")[0].split()[-1]: r for r in reports.split("# Qualitative Analysis: ")[1:]}
+    # headed by the book's title and the method
+    assert "# Qualitative Analysis: Tale (xlm_roberta)\n" in reports
+    parts = {r.split("\n")[0].split()[-1].strip("()"): r for r in reports.split("# Qualitative Analysis: ")[1:]}
     assert set(parts) == {"xlm_roberta", "sw_xlm_roberta"}
     for r in parts.values():
         assert "> CHAPTER I. A one two" in r and "un deux trois" in r and "sept huit neuf" in r and "> \n" not in r
     assert "> CHAPTER II. B four" in parts["xlm_roberta"] and "CHAPTER II" not in parts["sw_xlm_roberta"]  # window 1 of 100, not the middle
+    nested = [json.loads(line) for p in (book / "out/reports_json").rglob("*.txt") for line in p.read_text().splitlines()]
+    assert {(r["title"], r["slug"], r["method"], r["n_top"]) for r in nested} == {("Tale", "tale", m, 3) for m in parts}
+    assert all(list(r["pairs"]) == ["original_vs_human", "original_vs_llm", "human_vs_llm"] for r in nested)
+    assert all(p["excerpt_a"] and p["version_a"] == "en_original" for r in nested for p in r["pairs"]["original_vs_human"])
+    # saved metrics read back
+    saved = R.saved_results(spark, f"{book}/out/results_csv").where("method = 'xlm_roberta' and normalization = 'chapter'").collect()
+    assert {r["pair"]: r["mean_abs_diff"] for r in saved} == {"original_vs_human": 1.0, "original_vs_llm": 0.375, "human_vs_llm": 0.625}
     # arcs of chapters and windows
     got = {(r["version"], r["method"]): r for r in spark.read.json(f"{book}/out/scores").collect()}
     assert set(got) == {(v, m) for v in ("fr_human", "fr_llm", "fr_llm_bon5") for m in ("labmt", "sw_labmt")}
